@@ -24,3 +24,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     faces = latest_rows(table(spark, folder, "face_records"), "face_id", "arrived_at", ["cluster_id", "score"])
     best = top_n(faces.where("cluster_id >= 0 and score >= 0 and score <= 1"), "cluster_id", "score", "face_id", 5)
     return best.select(F.col("group").alias("cluster_id"), F.col("item").alias("face_id"))
+
+
+@R.add("p7_ids")
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k."""
+    from kithspark.llm.bpe import encode_corpus, vocabulary_path
+
+    return encode_corpus(table(spark, folder, "documents"), "doc_id", "text", vocabulary_path(spark))
