@@ -32,3 +32,29 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     from kithspark.llm.bpe import encode_corpus, vocabulary_path
 
     return encode_corpus(table(spark, folder, "documents"), "doc_id", "text", vocabulary_path(spark))
+
+
+def _face_vectors(spark: SparkSession, folder: str, column: str) -> DataFrame:
+    """(id, vec) of each face whose latest row has a usable vector in ``column``."""
+    from kithspark.llm.vectors import usable
+
+    faces = latest_wide(table(spark, folder, "face_records"), "face_id", "arrived_at", [column])
+    return faces.where(usable(column)).select(F.col("face_id").alias("id"), F.col(column).alias("vec"))
+
+
+@R.add("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Members of every group of close faces, but for its smallest face_id, which names it."""
+    from kithspark.llm.mixture import linked_groups
+
+    groups, _ = linked_groups(_face_vectors(spark, folder, "embedding"), 0.8)
+    return groups.where("id <> group_id").select(F.col("group_id").alias("group_face_id"), F.col("id").alias("face_id"))
+
+
+@R.add("p1_groups")
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each group of close faces with its size and its three most typical faces."""
+    from kithspark.llm.mixture import linked_groups, typical_members
+
+    groups, densities = linked_groups(_face_vectors(spark, folder, "embedding"), 0.8)
+    return typical_members(groups, densities).withColumnRenamed("group_id", "group_face_id")
