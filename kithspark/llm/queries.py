@@ -58,3 +58,17 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
 
     groups, densities = linked_groups(_face_vectors(spark, folder, "embedding"), 0.8)
     return typical_members(groups, densities).withColumnRenamed("group_id", "group_face_id")
+
+
+@R.add("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs where one is among the other's five most similar, for each kind of vector."""
+    from kithspark.llm.neighbours import nearest, neighbour_pairs
+    from kithspark.llm.vectors import usable
+
+    signals = ["embedding", "eye_embedding"]
+    latest = latest_wide(table(spark, folder, "face_records"), "face_id", "arrived_at", signals)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.when(usable(s), F.col(s)).alias("vec")) for s in signals]))
+    faces = latest.select(F.col("face_id").alias("id"), each.alias("v")).select("v.signal", "id", "v.vec").where("vec is not null")
+    persons = table(spark, folder, "persons").where(usable("embedding")).select(F.lit("person").alias("signal"), F.col("person_id").alias("id"), F.col("embedding").alias("vec"))
+    return neighbour_pairs(nearest(faces.unionByName(persons), 5, 0.8))
