@@ -72,3 +72,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     faces = latest.select(F.col("face_id").alias("id"), each.alias("v")).select("v.signal", "id", "v.vec").where("vec is not null")
     persons = table(spark, folder, "persons").where(usable("embedding")).select(F.lit("person").alias("signal"), F.col("person_id").alias("id"), F.col("embedding").alias("vec"))
     return neighbour_pairs(nearest(faces.unionByName(persons), 5, 0.8))
+
+
+@R.add("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of persons of a library whose names look the same but are stored differently."""
+    from kithspark.llm.lookalike import look_alike_pairs
+
+    pairs = look_alike_pairs(table(spark, folder, "persons"), "person_id", "library_id", "person_name")
+    return pairs.select(F.col("a").alias("person_id_a"), F.col("b").alias("person_id_b"))
+
+
+@R.add("p4_names")
+def p4_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Every person with one form for all names of the library that look the same."""
+    from kithspark.llm.lookalike import chosen_names
+
+    return chosen_names(table(spark, folder, "persons"), "person_id", "library_id", "person_name").select("person_id", "person_name", F.col("chosen").alias("name_form"))
