@@ -89,3 +89,18 @@ def p4_names(spark: SparkSession, folder: str) -> DataFrame:
     from kithspark.llm.lookalike import chosen_names
 
     return chosen_names(table(spark, folder, "persons"), "person_id", "library_id", "person_name").select("person_id", "person_name", F.col("chosen").alias("name_form"))
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    """(lib, kind, id, name) of all persons and of each request by its latest row."""
+    persons = table(spark, folder, "persons").select(F.col("library_id").cast("bigint").alias("lib"), F.lit("person").alias("kind"), F.col("person_id").alias("id"), F.col("person_name").alias("name"))
+    latest = latest_rows(table(spark, folder, "name_requests"), "request_id", "arrived_at", ["library_id", "name"])
+    return persons.unionByName(latest.select(F.col("library_id").cast("bigint").alias("lib"), F.lit("request").alias("kind"), F.col("request_id").alias("id"), "name"))
+
+
+@R.add("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of differently stored names of a library that mean the same person or organisation."""
+    from kithspark.llm.names import name_entities, same_entity_pairs
+
+    return same_entity_pairs(name_entities(_names(spark, folder)))
