@@ -104,3 +104,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from kithspark.llm.names import name_entities, same_entity_pairs
 
     return same_entity_pairs(name_entities(_names(spark, folder)))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    from kithspark.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+@R.add("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of a test item, and the item."""
+    return _leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+@R.add("p8_items")
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leaked item with the number of documents, and its longest passage in words."""
+    return _leaks(spark, folder).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("words").alias("longest"))
