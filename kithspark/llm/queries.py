@@ -122,3 +122,30 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     """Each leaked item with the number of documents, and its longest passage in words."""
     return _leaks(spark, folder).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("words").alias("longest"))
+
+
+def _harm(spark: SparkSession, folder: str, carry: list[str]) -> DataFrame:
+    from kithspark.llm.harm import fit_harm, harm_scores
+
+    model = fit_harm(table(spark, folder, "moderation_samples"), "text", "label")
+    return harm_scores(table(spark, folder, "documents"), "doc_id", "text", model, carry)
+
+
+@R.add("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    return _harm(spark, folder, []).where("kind is not null").select("doc_id")
+
+
+@R.add("p9_scores")
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score and, if it is harmful, the kind."""
+    return _harm(spark, folder, []).select("doc_id", F.round("score", 4).alias("score"), "kind")
+
+
+@R.add("p9_sources")
+def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate of harmful documents for each source."""
+    from kithspark.llm.harm import source_rates
+
+    return source_rates(_harm(spark, folder, ["source"]), "source")
