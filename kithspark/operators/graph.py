@@ -1,11 +1,20 @@
-"""Connected components of an edge table."""
+"""Close pairs, connected components and density-based clusters."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kithspark.functions.vectors import usable, validate_weights
+from kithspark.schemas import EYE_WEIGHT, FULL_WEIGHT, NOISE
 from kithspark.session import Scratch
 
+#: Rows of a block of the exact pair search.
+BLOCK = 3_000
+
 
 def _min_of(e: DataFrame) -> DataFrame:
     """Each edge (u, v) with the smallest of u and its neighbours.
@@ -54,3 +63,86 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     alone = loops.join(members.select("node").unionByName(roots.select("node")), "node", "left_anti").withColumn("component", F.col("node"))
     return members.unionByName(roots).unionByName(alone)
+
+
+def close_pairs(vectors: DataFrame, eps: float, full: str = "full", eye: str | None = None, weights: tuple[float, float] = (FULL_WEIGHT, EYE_WEIGHT), block: int = BLOCK) -> DataFrame:
+    """(a, b, distance), a < b: every pair of rows of (id, full[, eye]) whose distance is at most ``eps``. Exact.
+
+    The distance is 1 - cosine, or 1 - the weighted mean of both cosines where
+    both rows have an eye vector. ``full`` must be usable, and only vectors of the
+    same length are compared; an eye vector that is
+    unusable or not as long as most counts as missing. Rows are dealt into blocks
+    of about ``block``, and each pair of blocks is one matrix product, so tasks
+    are even whatever the data; only close pairs are given out. The work is
+    quadratic, as an exact result needs here; the grouping operators that scale
+    further don't enumerate pairs.
+    """
+    wf, we = validate_weights(*weights)
+    n = vectors.count()
+    blocks = max(1, math.ceil(n / block))
+    none = F.lit(None).cast("array<float>")
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), F.col(full).alias("full"), (F.when(usable(F.col(eye)), F.col(eye)) if eye else none).alias("eye"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    placed = rows.withColumn("other", other).select("id", "full", "eye", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def product(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("id").to_numpy(), kind="stable")
+        t = t.take(pa.array(order))
+        ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
+        same = t.column("p")[0].as_py() == t.column("q")[0].as_py()
+        left = np.flatnonzero(own == t.column("p")[0].as_py())
+        right = left if same else np.flatnonzero(own == t.column("q")[0].as_py())
+        f = _unit_rows(t.column("full"))
+        eyes = t.column("eye").to_pylist()
+        sizes = np.array([-1 if e is None else len(e) for e in eyes])
+        dim = int(np.bincount(sizes[sizes > 0]).argmax()) if (sizes > 0).any() else 0
+        e = np.zeros((len(ids), max(dim, 1)))
+        has = sizes == dim if dim else np.zeros(len(ids), bool)
+        for i in np.flatnonzero(has):
+            v = np.asarray(eyes[i], dtype=np.float64)
+            e[i] = v / np.linalg.norm(v)
+        out = []
+        for at in range(0, len(left), 1024):
+            l = left[at : at + 1024]
+            fs = np.clip(f[l] @ f[right].T, -1, 1)
+            if dim:
+                both = has[l][:, None] & has[right][None, :]
+                fs = np.where(both, wf * fs + we * np.clip(e[l] @ e[right].T, -1, 1), fs)
+            i, j = np.nonzero(1 - fs <= eps)
+            d, i2, j2 = (1 - fs)[i, j], ids[l[i]], ids[right[j]]
+            keep = i2 < j2 if same else np.ones(len(i2), bool)
+            out.append((np.minimum(i2, j2)[keep], np.maximum(i2, j2)[keep], d[keep]))
+        a, b, d = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": a, "b": b, "distance": np.clip(d, 0, 2)})
+
+    return placed.groupBy("p", "q", F.size("full").alias("dims")).applyInArrow(product, "a bigint, b bigint, distance double")
+
+
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    x = np.array(column.to_pylist(), dtype=np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def density_clusters(vertices: DataFrame, edges: DataFrame, min_samples: int = 1) -> DataFrame:
+    """(id, label): density-based clusters over the edges (a, b) between close vertices (id).
+
+    A vertex with at least ``min_samples`` close vertices, itself included, is a
+    core; cores that are close form a cluster, named by its smallest core. A
+    vertex close to a core joins the smallest of their clusters; any other is
+    noise, -1. With ``min_samples`` 1 every vertex is a core and the labels are
+    the connected components.
+    """
+    if min_samples < 1:
+        raise ValueError("min_samples must be at least 1")
+    ids = vertices.select(F.col("id").cast("bigint").alias("id"))
+    if min_samples == 1:
+        found = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("label"))
+        return ids.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    both = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("near")))
+    cores = Scratch(edges.sparkSession, "density").keep(both.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= min_samples).select("id"))
+    linked = both.join(cores, "id").join(cores.select(F.col("id").alias("near")), "near", "left_semi").where("id < near")
+    found = connected_components(linked, "id", "near").select(F.col("node").alias("id"), F.col("component").alias("label"))
+    core_labels = cores.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    border = both.join(cores, "id", "left_anti").join(core_labels.select(F.col("id").alias("near"), "label"), "near").groupBy("id").agg(F.min("label").alias("label"))
+    return ids.join(core_labels.unionByName(border), "id", "left").select("id", F.coalesce("label", F.lit(NOISE)).alias("label"))
