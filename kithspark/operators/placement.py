@@ -35,6 +35,7 @@ def free_names(rows: DataFrame, folder: str, name: str, order: list[str], existi
     # A natural number at the end ("a_1" given twice) keeps its own stem, as any other name does.
     easy = marked.where("__plain").withColumn("__i", place).withColumn("target", F.when(F.col("__i") == 0, F.col(name)).otherwise(numbered))
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    given = [*rows.columns, "target"]
 
     def go(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(order, kind="stable")
@@ -54,7 +55,7 @@ def free_names(rows: DataFrame, folder: str, name: str, order: list[str], existi
                 following[n.lower()] = i
             taken.add(candidate.lower())
             out.append(candidate)
-        return b.assign(target=out)[[*rows.columns, "target"]]
+        return b.assign(target=out)[given]
 
     hard = marked.where("not __plain").groupBy(*by).applyInPandas(go, f"{fields}, target string")
     return easy.select(*rows.columns, "target").unionByName(hard)
@@ -67,7 +68,8 @@ def organized(assignments: DataFrame, order: list[str], existing: DataFrame | No
     without a path aren't placed.
     """
     placed = assignments.where(F.col("image_path").isNotNull()).withColumn("folder", F.coalesce(folder_name(F.col("person_name")), F.lit(unknown)))
-    once = placed.groupBy("image_path", "folder").agg(*[F.min(c).alias(c) for c in order])
+    by = placed.groupBy("image_path", "folder")
+    once = by.agg(*[F.min(c).alias(c) for c in order]) if order else placed.select("image_path", "folder").distinct()
     rows = once.select(F.col("image_path").alias("source"), "folder", basename(F.col("image_path")).alias("name"), *order)
     return free_names(rows, "folder", "name", [*order, "source"], existing).select("source", "folder", "target")
 

@@ -2,6 +2,6 @@
 
 
 def all_registries() -> list:
-    from kithspark.plans import relation_queries, skew_queries, vector_queries
+    from kithspark.plans import placement_queries, relation_queries, skew_queries, vector_queries
 
-    return [relation_queries.R, vector_queries.R, skew_queries.R]
+    return [relation_queries.R, vector_queries.R, placement_queries.R, skew_queries.R]
