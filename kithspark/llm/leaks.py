@@ -191,7 +191,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
     rows = spread(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and t <> ''"))
     held = items.select(F.col(item).cast("bigint").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null").dropDuplicates(["k"])
     n = held.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n // BLOCK))  # of no items, one empty block
     spark, out = docs.sparkSession, None
     for b in range(blocks):
         part = held.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect()  # about BLOCK items
