@@ -27,7 +27,7 @@ def is_readable(content: Column) -> Column:
 def scanned(spark: SparkSession, folder: str, recursive: bool = True, validate: bool = True) -> DataFrame:
     """(path, content) of the supported images in a folder; unreadable files are left out with ``validate``.
 
-    A missing folder is an error. Files that can't be opened are passed over.
+    A missing folder is an error. Files that can't be opened, and empty ones, are passed over.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).load(folder)
     files = files.where(is_supported(F.col("path"))).select("path", "content")

@@ -23,10 +23,10 @@ class Store:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def current(self) -> str | None:
-        fs, where = self._fs(f"{self.path}/_current")
+        fs, where = self._fs(f"{self.path}/current.txt")
         if not fs.exists(where):
             return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
+        return self.spark.read.text(f"{self.path}/current.txt").first()[0]
 
     def read(self) -> DataFrame:
         """The current version; empty before the first. Columns that it lacks are null, so old tables still read."""
@@ -39,8 +39,8 @@ class Store:
     def write(self, df: DataFrame) -> str:
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{version}")
-        fs, where = self._fs(f"{self.path}/_current")
-        _, new = self._fs(f"{self.path}/_next-{version}")
+        fs, where = self._fs(f"{self.path}/current.txt")
+        _, new = self._fs(f"{self.path}/next-{version}.txt")
         out = fs.create(new, True)
         out.write(bytearray(version.encode()))
         out.close()
