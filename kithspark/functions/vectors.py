@@ -9,7 +9,8 @@ from pyspark.sql import Column, functions as F
 from kithspark.schemas import EYE_WEIGHT, FULL_WEIGHT
 
 
-def _dot(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column) -> Column:
+    """Sum of the products of the elements, in double."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
@@ -31,14 +32,14 @@ def usable(v: Column) -> Column:
 def cosine_similarity(a: Column, b: Column) -> Column:
     """From -1 to 1; null if either is unusable or their sizes differ."""
     ok = usable(a) & usable(b) & (F.size(a) == F.size(b))
-    return F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, b) / (norm(a) * norm(b)))))
+    return F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (norm(a) * norm(b)))))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; 2 where a vector is null, empty or zero; sizes that differ are an error."""
     none = lambda v: F.coalesce(F.size(v) <= 0, F.lit(True)) | ~F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     differ = F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in size")).cast("double"))
-    return F.when(none(a) | none(b), F.lit(2.0)).when(F.size(a) != F.size(b), differ).otherwise(1 - _dot(a, b) / (norm(a) * norm(b)))
+    return F.when(none(a) | none(b), F.lit(2.0)).when(F.size(a) != F.size(b), differ).otherwise(1 - dot(a, b) / (norm(a) * norm(b)))
 
 
 def validate_weights(full, eye) -> tuple[float, float]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithspark.functions.text import folder_name, merged_samples, name_key, stripped
-from kithspark.functions.vectors import cosine_similarity, fused_similarity, norm, unit, usable
+from kithspark.functions.vectors import dot, norm, unit, usable, validate_weights
 from kithspark.operators.clustering import _dense, check_tolerance
 from kithspark.operators.relations import _key
 from kithspark.schemas import EYE_WEIGHT, FULL_WEIGHT, MAX_SAMPLES, PERSONS, TOLERANCE
@@ -35,15 +35,16 @@ def candidates(queries: DataFrame, persons: DataFrame, tolerance: float = TOLERA
     that can be broadcast.
     """
     check_tolerance(tolerance)
-    q = queries.where(usable(F.col("full"))).select("query_id", *scope, F.col("full").alias("qf"), F.col("eye").alias("qe"))
-    p = persons.where(usable(F.col("embedding"))).select("person_name", *scope, F.col("embedding").alias("pf"), F.col("eye_embedding").alias("pe"))
-    near = q.join(p, scope) if scope else q.join(F.broadcast(p))
-    near = near.where(F.size("qf") == F.size("pf"))
-    both = usable(F.col("qe")) & usable(F.col("pe")) & (F.size("qe") == F.size("pe"))
-    distance = 1 - fused_similarity(F.col("qf"), F.col("pf"), F.when(both, F.col("qe")), F.when(both, F.col("pe")), weights)
-    full = 1 - cosine_similarity(F.col("qf"), F.col("pf"))
-    rated = near.select("query_id", *scope, "person_name", distance.alias("distance"), both.alias("used_eye"), full.alias("full_distance"), F.when(both, 1 - cosine_similarity(F.col("qe"), F.col("pe"))).alias("eye_distance"))
-    return rated.where(F.col("distance") <= tolerance)
+    wf, we = validate_weights(*weights)
+    # Unit vectors are made once for each side, so a pair costs two products.
+    side = lambda df, key, full, eye, n: df.where(usable(F.col(full))).select(key, *scope, unit(F.col(full)).alias(f"{n}f"), unit(F.col(eye)).alias(f"{n}e"))
+    q, p = side(queries, "query_id", "full", "eye", "q"), side(persons, "person_name", "embedding", "eye_embedding", "p")
+    on = F.size("qf") == F.size("pf")
+    near = q.join(p, scope).where(on) if scope else q.join(F.broadcast(p), on)
+    both = F.coalesce(F.size("qe") == F.size("pe"), F.lit(False)) & F.col("qe").isNotNull() & F.col("pe").isNotNull()
+    rated = near.select("query_id", *scope, "person_name", both.alias("used_eye"), (1 - dot(F.col("qf"), F.col("pf"))).alias("full_distance"), F.when(both, 1 - dot(F.col("qe"), F.col("pe"))).alias("eye_distance"))
+    distance = F.coalesce(F.lit(wf) * F.col("full_distance") + F.lit(we) * F.col("eye_distance"), F.col("full_distance"))
+    return rated.withColumn("distance", distance).where(F.col("distance") <= tolerance)
 
 
 def best_match(found: DataFrame, keys: list[str] = ["query_id"]) -> DataFrame:  # noqa: B006
@@ -68,8 +69,8 @@ def auto_labels(clusters: DataFrame, persons: DataFrame, tolerance: float = TOLE
 
 def fused_clusters(labels: DataFrame) -> DataFrame:
     """(cluster_id, new_id, label): clusters with the same label become one, numbered from 0 by first member."""
-    keyed = labels.withColumn("leader", F.min("cluster_id").over(Window.partitionBy("label")))
-    keyed = keyed.withColumn("leader", F.when(F.col("label").isNull(), F.col("cluster_id")).otherwise(F.col("leader")))
+    first = labels.where("label is not null").groupBy("label").agg(F.min("cluster_id").alias("first"))
+    keyed = labels.join(first, "label", "left").withColumn("leader", F.coalesce("first", "cluster_id"))
     return _renumbered(keyed).select("cluster_id", "new_id", "label")
 
 

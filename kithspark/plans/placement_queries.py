@@ -212,7 +212,7 @@ def t6(spark, folder):
     return table(spark, folder, "persons").select("person_id", F.size(merged).cast("bigint").alias("n")).where("n > 0")
 
 
-@R.add("g12_timestamps", "SELECT person_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS iso, strftime(updated_at, '%Y-%m-%d %H:%M') AS stamp FROM persons")
+@R.add("g12_timestamps", "SELECT person_id, strftime(timezone('UTC', created_at), '%Y-%m-%dT%H:%M:%S+00:00') AS iso, strftime(timezone('UTC', updated_at), '%Y-%m-%d %H:%M') AS stamp FROM persons")
 def g12(spark, folder):
     return table(spark, folder, "persons").select("person_id", tx.iso_seconds(F.col("created_at")).alias("iso"), tx.stamp(F.col("updated_at")).alias("stamp"))
 
@@ -221,9 +221,9 @@ _AGO = "floor((s / {0}) + 0.5)"
 
 
 @R.add("g13_when", f"""
-WITH a AS (SELECT occurrence_id, round((epoch_us(TIMESTAMP '2024-12-31 00:00:00') - epoch_us(seen_at)) / 1e6) AS s, seen_at FROM face_occurrences)
+WITH a AS (SELECT occurrence_id, round((epoch_us(TIMESTAMPTZ '2024-12-31 00:00:00+00') - epoch_us(seen_at)) / 1e6) AS s, seen_at FROM face_occurrences)
 SELECT occurrence_id, CASE WHEN seen_at IS NULL THEN '' WHEN s < 45 THEN 'just now' WHEN s < 3600 THEN CAST({_AGO.format(60)} AS BIGINT) || ' min ago' WHEN s < 86400 THEN CAST({_AGO.format(3600)} AS BIGINT) || ' h ago'
-  WHEN s < 604800 THEN CAST({_AGO.format(86400)} AS BIGINT) || ' d ago' ELSE strftime(seen_at, '%b %-d') END AS seen FROM a""")
+  WHEN s < 604800 THEN CAST({_AGO.format(86400)} AS BIGINT) || ' d ago' ELSE strftime(timezone('UTC', seen_at), '%b %-d') END AS seen FROM a""")
 def g13(spark, folder):
     now = F.lit("2024-12-31 00:00:00").cast("timestamp")
     return table(spark, folder, "face_occurrences").select("occurrence_id", tx.when_text(F.col("seen_at"), now).alias("seen"))
@@ -276,7 +276,7 @@ def g20(spark, folder):
 
 @R.add("a9_scan_totals", """
 SELECT count(*) AS scanned, count(*) FILTER (status = 'unreadable') AS unreadable, count(*) FILTER (status = 'failed') AS failed,
-  count(*) FILTER (status = 'failed' OR (status = 'ok' AND coalesce(faces_detected, 0) = 0)) AS without_faces, sum(faces_detected) AS faces_detected, sum(embedded) AS embedded FROM images""")
+  count(*) FILTER (status = 'failed' OR (status = 'ok' AND coalesce(faces_detected, 0) = 0)) AS without_faces, CAST(sum(faces_detected) AS BIGINT) AS faces_detected, CAST(sum(embedded) AS BIGINT) AS embedded FROM images""")
 def a9(spark, folder):
     return img.scan_totals(table(spark, folder, "images"))
 

@@ -24,7 +24,7 @@ OCC = f"""occ AS (
 
 #: face_occurrences within libraries, one row for each name and photo.
 FOCC = f"""focc AS (
-  SELECT library_id, {key_sql('person_name')} AS k, min(person_name) AS person_name, image_path, sum(coalesce(faces, 1)) AS faces, max(seen_at) AS seen_at
+  SELECT library_id, {key_sql('person_name')} AS k, min(person_name) AS person_name, image_path, CAST(sum(coalesce(faces, 1)) AS BIGINT) AS faces, timezone('UTC', max(seen_at)) AS seen_at
   FROM face_occurrences WHERE trim(person_name) <> '' AND trim(image_path) <> '' GROUP BY library_id, k, image_path)"""
 
 
@@ -41,12 +41,12 @@ def by_library(spark: SparkSession, folder: str) -> DataFrame:
     return rel.record(None, table(spark, folder, "face_occurrences").select("library_id", "person_name", "image_path", "faces", "seen_at"), ["library_id"])
 
 
-@R.add("r1_people_list", f"WITH {OCC} SELECT min(person_name) AS person_name, count(*) AS photos, sum(faces) AS faces, max(seen_at) AS last_seen FROM occ GROUP BY k")
+@R.add("r1_people_list", f"WITH {OCC} SELECT min(person_name) AS person_name, count(*) AS photos, CAST(sum(faces) AS BIGINT) AS faces, max(seen_at) AS last_seen FROM occ GROUP BY k")
 def r1(spark, folder):
     return rel.people(occurrences(spark, folder))
 
 
-@R.add("r1_people_by_library", f"WITH {FOCC} SELECT library_id, min(person_name) AS person_name, count(*) AS photos, sum(faces) AS faces, max(seen_at) AS last_seen FROM focc GROUP BY library_id, k")
+@R.add("r1_people_by_library", f"WITH {FOCC} SELECT library_id, min(person_name) AS person_name, count(*) AS photos, CAST(sum(faces) AS BIGINT) AS faces, max(seen_at) AS last_seen FROM focc GROUP BY library_id, k")
 def r1_library(spark, folder):
     return rel.people(by_library(spark, folder), ["library_id"])
 
@@ -98,7 +98,7 @@ def r5(spark, folder):
 
 @R.add("r6_intersection_summary", f"""
 WITH {OCC}, h AS (SELECT image_path, count(*) AS n FROM occ WHERE k IN ('supplier#000000001', 'supplier#000000002') GROUP BY 1)
-SELECT count(*) FILTER (n = 2) AS count, sum(n) AS total FROM h""")
+SELECT count(*) FILTER (n = 2) AS count, CAST(sum(n) AS BIGINT) AS total FROM h""")
 def r6(spark, folder):
     """Unknown names are set aside; the matched ones give the count and the sum of their photos."""
     return rel.intersection_summary(occurrences(spark, folder), [*NAMES, "ghost"])
@@ -154,7 +154,7 @@ def r10_named(spark, folder):
 
 @R.add("r11_merge_people", f"""
 WITH {OCC}, m AS (SELECT CASE WHEN k = 'supplier#000000002' THEN 'Supplier#000000001' ELSE person_name END AS person_name, image_path, faces, seen_at FROM occ)
-SELECT person_name, image_path, sum(faces) AS faces, max(seen_at) AS seen_at FROM m GROUP BY ALL""")
+SELECT person_name, image_path, CAST(sum(faces) AS BIGINT) AS faces, max(seen_at) AS seen_at FROM m GROUP BY ALL""")
 def r11(spark, folder):
     return rel.merged(occurrences(spark, folder), "SUPPLIER#000000001", "supplier#000000002")
 
@@ -165,7 +165,7 @@ def k6(spark, folder):
     return by_library(spark, folder)
 
 
-@R.add("k6_record_second_batch", f"WITH {FOCC} SELECT library_id, person_name, image_path, 2 * faces AS faces, seen_at FROM focc")
+@R.add("k6_record_second_batch", f"WITH {FOCC} SELECT library_id, person_name, image_path, CAST(2 * faces AS BIGINT) AS faces, seen_at FROM focc")
 def k6_again(spark, folder):
     """The same batch recorded twice adds up."""
     raw = table(spark, folder, "face_occurrences").select("library_id", "person_name", "image_path", "faces", "seen_at")
@@ -192,7 +192,7 @@ def v6(spark, folder):
     return views.capped(occurrences(spark, folder).select("image_path").distinct(), ["image_path"], 400)[0]
 
 
-@R.add("v10_recent_activity", "SELECT occurrence_id, seen_at FROM face_occurrences ORDER BY seen_at DESC NULLS LAST, occurrence_id LIMIT 24")
+@R.add("v10_recent_activity", "SELECT occurrence_id, timezone('UTC', seen_at) AS seen_at FROM face_occurrences ORDER BY face_occurrences.seen_at DESC NULLS LAST, occurrence_id LIMIT 24")
 def v10(spark, folder):
     return views.most_recent(table(spark, folder, "face_occurrences").select("occurrence_id", "seen_at"), "seen_at", 24, ["occurrence_id"])
 

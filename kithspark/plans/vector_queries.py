@@ -95,7 +95,7 @@ def c4(spark, folder):
     return _face_person(spark, folder).select("face_id", "person_id", F.round(vec.fused_distance(*map(F.col, ("fa", "fb", "ea", "eb")), weights=(2, 3)), 4).alias("distance"))
 
 
-@R.add("c7_weights_used", _FP + " SELECT face_id, person_id, CASE WHEN es IS NULL THEN 1.0 ELSE 0.4 END AS full_weight, CASE WHEN es IS NULL THEN 0.0 ELSE 0.6 END AS eye_weight FROM s")
+@R.add("c7_weights_used", _FP + " SELECT face_id, person_id, CASE WHEN es IS NULL THEN 1e0 ELSE 4e-1 END AS full_weight, CASE WHEN es IS NULL THEN 0e0 ELSE 6e-1 END AS eye_weight FROM s")
 def c7(spark, folder):
     w = vec.weights_used(F.col("ea"), F.col("eb"))
     return _face_person(spark, folder).select("face_id", "person_id", w["full"].alias("full_weight"), w["eye"].alias("eye_weight"))
@@ -448,7 +448,7 @@ def v3(spark, folder):
     return views.clusters_matching(_cards(spark, folder), "an").select("cluster_id", "name")
 
 
-@R.add("v9_named_and_unnamed", f"WITH {_CARDS} SELECT count(*) AS clusters, count(name) AS named, count(*) - count(name) AS unnamed, sum(photos) AS photos FROM c")
+@R.add("v9_named_and_unnamed", f"WITH {_CARDS} SELECT count(*) AS clusters, count(name) AS named, count(*) - count(name) AS unnamed, CAST(sum(photos) AS BIGINT) AS photos FROM c")
 def v9(spark, folder):
     return views.named_and_not(_cards(spark, folder))
 

@@ -6,6 +6,8 @@ import atexit
 import math
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package known to the Python workers, once for each application.
+
+    It is packed and sent along as Spark does with any Python file, so workers
+    need neither a working directory nor a path of their own.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_kithspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="kithspark-code-")) / "kithspark-code.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(packed))
+    context._kithspark_shipped = True
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
