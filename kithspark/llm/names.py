@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from kithspark.llm.common import spread
 from kithspark.llm.lookalike import LOOK_ALIKES, invisible
 from kithspark.operators.graph import connected_components
-from kithspark.session import Scratch
+from kithspark.session import Scratch, parts
 
 #: Least cosine of a candidate pair; libraries from which on a token counts as common; least mean similarity to link two groups.
 LEAST_COSINE, COMMON, LINKAGE = 0.15, 4, 0.5
@@ -511,15 +511,24 @@ def _linked(forms: DataFrame, strong: DataFrame) -> DataFrame:
     component = connected_components(strong).withColumnRenamed("node", "a")
     pairs = strong.select("a", "b", "pb", "similarity").join(component, "a")
 
-    def link(b: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(b.a) | set(b.b))
-        at = {x: i for i, x in enumerate(ids)}
-        similar = {(min(at[x], at[y]), max(at[x], at[y])): s for x, y, s in zip(b.a, b.b, b.similarity)}
-        people = set(b.a) | set(b.b[b.pb])
-        group = average_linkage([x in people for x in ids], similar, LINKAGE)
-        return pd.DataFrame({"f": ids, "entity": [ids[g] for g in group]})
-
-    grouped = pairs.groupBy("component").applyInPandas(link, "f bigint, entity bigint")
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        components: dict[int, list[tuple[int, int, bool, float]]] = {}
+        for t in batches:
+            for c, *pair in zip(t.component, t.a, t.b, t.pb, t.similarity):
+                components.setdefault(c, []).append(tuple(pair))
+        out: list[tuple[int, int]] = []
+        for rows in components.values():
+            ids = sorted({x for a, b, _, _ in rows for x in (a, b)})
+            at = {x: i for i, x in enumerate(ids)}
+            people = {a for a, _, _, _ in rows} | {b for _, b, pb, _ in rows if pb}
+            similar = {(min(at[a], at[b]), max(at[a], at[b])): s for a, b, _, s in rows}
+            group = average_linkage([x in people for x in ids], similar, LINKAGE)
+            out += [(x, ids[g]) for x, g in zip(ids, group)]
+        yield pd.DataFrame(out, columns=["f", "entity"])
+
+    # Many small components come to a task at once; each is linked by itself.
+    together = pairs.select("component", "a", "b", "pb", "similarity").repartition(parts(forms.sparkSession, pairs.count(), 50_000), "component")
+    grouped = together.mapInPandas(link, "f bigint, entity bigint")
     return forms.select("f").join(grouped, "f", "left").select("f", F.coalesce("entity", "f").alias("entity"))
 
 
