@@ -23,6 +23,8 @@ from kithspark.session import Scratch
 
 #: Tables, and buckets of each that a vector is put into while the hash has one axis; vectors that a bucket should hold at most.
 TABLES, PROBES, BUCKET = 2, 2, 40_000
+#: Vectors that are looked at to find buckets with far more than that, and how many more; entries of a matrix product.
+LOOKED_AT, HOT, AREA = 40_000, 3, 4_000_000
 #: Vectors of a bucket from which on the search in it hashes again, and how many tables and probes that takes.
 AGAIN, AGAIN_TABLES, AGAIN_PROBES = 4_096, 2, 3
 
@@ -95,17 +97,19 @@ def _best(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np
     return i[place < k], j[place < k], exact[place < k]
 
 
-def _among(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, k: int, least: float, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The k best of each of ``rows`` among them, in blocks."""
-    y = x[rows]
-    for a in range(0, len(rows), block):
+def _among(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best of each of ``rows`` among them, in blocks of bounded size."""
+    y, n = x[rows], len(rows)
+    block = max(1, min(1024, AREA // max(n, 1)))
+    for a in range(0, n, block):
         c = y[a : a + block] @ y.T
-        flat = c.ravel()
-        hit = np.flatnonzero(flat >= least - 2e-6)
-        i, j = hit // len(rows) + a, hit % len(rows)
-        keep = i != j
-        if keep.any():
-            yield _best(ids, x, rows, rows[i[keep]], rows[j[keep]], flat[hit[keep]], k, least)
+        c[np.arange(len(c)), np.arange(a, a + len(c))] = -2
+        hit = c >= least - 2e-6
+        if hit.sum() > 64 * len(c) and n > 2 * k:  # most are close: only what could be among the k best is looked at
+            hit &= c >= np.partition(c, n - k, axis=1)[:, n - k, None] - 4e-6
+        flat = np.flatnonzero(hit.ravel())
+        if len(flat):
+            yield _best(ids, x, rows, rows[flat // n + a], rows[flat % n], c.ravel()[flat], k, least)
 
 
 def search_bucket(ids: np.ndarray, x: np.ndarray, k: int, least: float, seed: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +149,9 @@ def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
     smaller id; a vector without any isn't given. Equal vectors are each other's
     partners; of a vector that more than k + 1 ids share, the smallest k + 1 are
     searched and stand for the others. The number of axes in a hash follows the
-    size of the table, and probes with it; no bucket is cut. An empty table gives
+    size of the table, and probes with it; a bucket that a sample shows to hold
+    far more vectors than others is divided by a further hash of what its vectors
+    don't have in common; no bucket is cut. An empty table gives
     no row.
     """
     scratch = Scratch(vectors.sparkSession, "neighbours")
@@ -159,8 +165,9 @@ def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
     rows = spread(vectors.select("signal", F.col("id").cast("bigint").alias("id"), "vec"))
     units = rows.mapInArrow(normal, "signal string, id bigint, unit binary, vec binary").drop("vec").withColumnRenamed("unit", "vec")
     extra = scratch.keep(_further_copies(units, k + 1))
-    sizes = {r.signal: r.n for r in units.groupBy("signal").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each signal
+    sizes = {r.signal: r.n for r in vectors.groupBy("signal").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each signal
     plan = {s: _axes(n) for s, n in sizes.items()}
+    hot = vectors.sparkSession.sparkContext.broadcast(_hot_buckets(vectors, sizes, plan))
     searched = units.join(extra.select("signal", "id"), ["signal", "id"], "left_anti")
 
     def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +180,8 @@ def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
                     part = b.take(pa.array(mine))
                     x, (axes, probes) = matrix(part.column(2)), plan[s]
                     for t in range(TABLES):
-                        keys = buckets(x, t, axes, probes) * TABLES + t
-                        row = np.repeat(np.arange(len(x)), keys.shape[1])
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(keys.ravel()), part.column(1).take(pa.array(row)), packed(x[row])], ["signal", "bucket", "id", "vec"])
+                        row, key = _placed(x, t, axes, probes, hot.value.get(s, {}))
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(key), part.column(1).take(pa.array(row)), packed(x[row])], ["signal", "bucket", "id", "vec"])
 
     def search(t: pa.Table) -> pa.Table:
         ids, x = t.column("id").to_numpy(), matrix(t.column("vec").combine_chunks())
@@ -200,6 +206,54 @@ def _axes(n: int) -> tuple[int, int]:
     return axes, PROBES if axes == 1 else 3 * axes
 
 
+def _placed(x: np.ndarray, table: int, axes: int, probes: int, hot: dict[int, tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) for every bucket of a table that a row is put into.
+
+    A bucket in ``hot`` is divided: what its vectors have in common is taken from
+    them, and the rest is hashed in turn, again with several probes.
+    """
+    keys = buckets(x, table, axes, probes) * TABLES + table
+    row, key = np.repeat(np.arange(len(x)), keys.shape[1]), keys.ravel()
+    for b, (mean, more) in hot.items():
+        inside = np.flatnonzero(key == b)
+        if not len(inside):
+            continue
+        rest = x[row[inside]] - mean
+        size = np.linalg.norm(rest, axis=1, keepdims=True)
+        sub = buckets(rest / np.maximum(size, 1e-12), 70 + table, more, 3 * more)
+        outside = np.flatnonzero(key != b)
+        divided = -1 - (b * (2 * DIMS) ** more + sub)
+        row = np.r_[row[outside], np.repeat(row[inside], sub.shape[1])]
+        key = np.r_[key[outside], divided.ravel()]
+    return row, key
+
+
+def _hot_buckets(vectors: DataFrame, sizes: dict[str, int], plan: dict[str, tuple[int, int]]) -> dict[str, dict[int, tuple[np.ndarray, int]]]:
+    """For each signal the buckets with more than HOT * BUCKET vectors, by a sample: their mean and the axes to divide them by.
+
+    At most one in HOT * BUCKET placings makes a hot bucket, so the result is small.
+    """
+    out: dict[str, dict[int, tuple[np.ndarray, int]]] = {}
+    for s, n in sizes.items():
+        if n <= HOT * BUCKET:
+            continue  # no bucket can hold so many
+        per = max(1, n // LOOKED_AT)
+        rows = vectors.where((F.col("signal") == s) & (F.pmod(F.xxhash64("id", F.lit("looked at")), F.lit(per)) == 0)).select("vec").limit(2 * LOOKED_AT).toArrow()
+        if not rows.num_rows:
+            continue
+        x = unit(matrix(rows.column("vec").combine_chunks()))
+        axes, probes = plan[s]
+        for t in range(TABLES):
+            keys = buckets(x, t, axes, probes) * TABLES + t
+            row = np.repeat(np.arange(len(x)), keys.shape[1])
+            value, count = np.unique(keys.ravel(), return_counts=True)
+            for b, c in zip(value.tolist(), count.tolist()):
+                about = c * n / len(x)
+                if about > HOT * BUCKET:
+                    out.setdefault(s, {})[b] = x[row[keys.ravel() == b]].mean(0), _axes(int(about))[0]
+    return out
+
+
 def _merged(found: DataFrame, k: int) -> DataFrame:
     """The k best of all partners found for an id; at most TABLES times probes lists of k each."""
     order = F.expr("transform(partners, p -> struct(-p.cosine as c, p.id as id))")

@@ -135,6 +135,23 @@ def test_search_in_a_bucket(again, monkeypatch):
     assert (np.bincount(i) <= 5).all() and (c >= 0.8).all()
 
 
+def test_hot_buckets_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(nbr, "BUCKET", 60)
+    monkeypatch.setattr(nbr, "_axes", lambda n: (1, 2))
+    ids, x = faces(2000, 6, hot=800)
+    df = spark.createDataFrame([("a", int(i), v.tolist()) for i, v in zip(ids, x)], "signal string, id bigint, vec array<float>")
+    hot = nbr._hot_buckets(df, {"a": len(ids)}, {"a": (1, 2)})["a"]
+    assert hot and all(m.shape == (64,) for m, _ in hot.values())
+    row, key = nbr._placed(unit(x), 0, 1, 2, hot)
+    assert set(row) == set(range(len(x))) and (key < 0).any() and not set(key) & set(hot)
+    before = np.unique(nbr._placed(unit(x), 0, 1, 2, {})[1], return_counts=True)[1].max()
+    assert np.unique(key, return_counts=True)[1].max() < before
+    want = {(i, j) for i, p in true_best(ids, x, 5, 0.8).items() for j in p}
+    # Within the hot group all are about equally far, the hardest case there is.
+    got = {(i, j) for (_, i), p in found(df).items() for j in p}
+    assert len(got & want) >= 0.6 * len(want) and len({i for i, _ in got}) >= 0.98 * len({i for i, _ in want})
+
+
 def test_many_copies_and_ties_go_to_the_smaller_id(spark):
     e = np.eye(64)
     rows = [("a", i, e[0].tolist()) for i in range(20)] + [("b", i, (e[0] * 2).tolist()) for i in (1, 2)] + [("a", 100, (e[0] + 0.2 * e[1]).tolist()), ("a", 200, e[5].tolist())]
