@@ -383,3 +383,49 @@ def i2(spark, folder):
     after = identity.upserted(old, batch, F.lit("2025-01-01 00:00:00").cast("timestamp"), ["library_id"])
     changed = F.col("updated_at") == F.lit("2025-01-01 00:00:00").cast("timestamp")
     return after.select("library_id", "person_name", "faces_seen", F.round(F.when(changed, F.col("embedding")[0].cast("double")), 4).alias("first_value"))
+
+
+@R.add("j8_unknown_names", f"""
+WITH {_REQ} SELECT DISTINCT library_id, {key_sql('s')} AS name_key FROM q WHERE s <> '' AND NOT EXISTS (SELECT 1 FROM persons p WHERE p.library_id = q.library_id AND {key_sql('p.person_name')} = {key_sql('q.s')})""")
+def j8(spark, folder):
+    """Requested names that no person of the library has."""
+    asked = requests(spark, folder).select("library_id", tx.name_key(tx.stripped(F.col("name"))).alias("name_key")).where("name_key <> ''").distinct()
+    known = table(spark, folder, "persons").select("library_id", tx.name_key(F.col("person_name")).alias("name_key"))
+    return asked.join(known, ["library_id", "name_key"], "left_anti")
+
+
+@R.add("j7_photos_of_requested_people", f"""
+WITH {FOCC}, {_REQ} SELECT DISTINCT f.library_id, f.image_path FROM focc f WHERE EXISTS (SELECT 1 FROM q WHERE q.library_id = f.library_id AND {key_sql('q.s')} = f.k)""")
+def j7(spark, folder):
+    """Photos of everybody who was asked for by name."""
+    asked = requests(spark, folder).select("library_id", tx.name_key(tx.stripped(F.col("name"))).alias("name_key"))
+    occ = by_library(spark, folder).withColumn("name_key", tx.name_key(F.col("person_name")))
+    return occ.join(asked, ["library_id", "name_key"], "left_semi").select("library_id", "image_path").distinct()
+
+
+@R.add("j4_labelled_faces", """
+WITH latest AS (SELECT face_id, arg_max(r, r) AS r FROM (SELECT face_id, {'at': arrived_at, 'c': cluster_id, 'p': person_name} AS r FROM face_records WHERE face_id IS NOT NULL) GROUP BY 1),
+l AS (SELECT r.c AS c, min(r.p) AS label FROM latest WHERE r.c >= 0 GROUP BY 1)
+SELECT face_id, l.label FROM latest LEFT JOIN l ON r.c = l.c""")
+def j4(spark, folder):
+    """Every face with the label of its cluster, by a join that a heavy cluster doesn't slow."""
+    from kithspark.operators.skew import skew_join
+
+    f = latest_rows(table(spark, folder, "face_records"), "face_id", "arrived_at", ["cluster_id", "person_name"])
+    labels = f.where("cluster_id >= 0").groupBy("cluster_id").agg(F.min("person_name").alias("label"))
+    return skew_join(f.select("face_id", "cluster_id"), labels, "cluster_id", how="left").select("face_id", "label")
+
+
+@R.add("k5_updated_persons", f"""
+SELECT library_id, count(*) AS persons, count(DISTINCT {key_sql('person_name')}) AS names FROM persons GROUP BY 1""")
+def k5(spark, folder):
+    """Persons written to a store and read back, as every update of them is."""
+    from kithspark.session import shared_dir
+    from kithspark.sources.store import Store
+
+    p = table(spark, folder, "persons")
+    store = Store(spark, f"{shared_dir(spark)}/persons", p.schema)
+    store.write(p)
+    store.drop_old()
+    back = store.read()
+    return back.groupBy("library_id").agg(F.count(F.lit(1)).alias("persons"), F.count_distinct(tx.name_key(F.col("person_name"))).alias("names"))
