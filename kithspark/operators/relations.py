@@ -118,9 +118,9 @@ def intersection_summary(occ: DataFrame, names: list[str]) -> DataFrame:
 def co_occurrence(occ: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
     """(*scope, person_a, person_b, photos) of each pair that shares a photo, a before b.
 
-    The sides of the self-join are the same shuffled rows, and pair counts are
-    reduced before their shuffle. Pairs are counted by 64-bit keys of the names;
-    the spellings are joined to the counts.
+    Photos are matched by an equi-join with the order of names as its residue, and
+    pair counts are reduced before their shuffle; the spellings are joined to the
+    counts.
     """
     rows = keyed(occ).select(*scope, F.col("name_key"), "image_path").distinct()
     a = rows.select(*scope, "image_path", F.col("name_key").alias("ka"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kithspark.functions import text as tx
@@ -424,7 +426,7 @@ def k5(spark, folder):
     from kithspark.sources.store import Store
 
     p = table(spark, folder, "persons")
-    store = Store(spark, f"{shared_dir(spark)}/persons", p.schema)
+    store = Store(spark, f"{shared_dir(spark)}/persons-{uuid.uuid4().hex}", p.schema)
     store.write(p)
     store.drop_old()
     back = store.read()
