@@ -22,9 +22,11 @@ from kithspark.llm.vectors import DIMS, cosines, matrix, packed, unit
 from kithspark.session import Scratch
 
 #: Tables, and buckets of each that a vector is put into while the hash has one axis; vectors that a bucket should hold at most.
-TABLES, PROBES, BUCKET = 2, 2, 40_000
-#: Vectors that are looked at to find buckets with far more than that, and how many more; entries of a matrix product.
-LOOKED_AT, HOT, AREA = 40_000, 3, 4_000_000
+TABLES, PROBES, BUCKET = 2, 2, 100_000
+#: Vectors from which on a bucket is divided; one in LOOKED_AT is kept to find such buckets, at most about ENOUGH are looked at.
+HOT, LOOKED_AT, ENOUGH = 150_000, 64, 40_000
+#: Entries of a matrix product.
+AREA = 4_000_000
 #: Vectors of a bucket from which on the search in it hashes again, and how many tables and probes that takes.
 AGAIN, AGAIN_TABLES, AGAIN_PROBES = 4_096, 2, 3
 
@@ -164,10 +166,13 @@ def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
 
     rows = spread(vectors.select("signal", F.col("id").cast("bigint").alias("id"), "vec"))
     units = rows.mapInArrow(normal, "signal string, id bigint, unit binary, vec binary").drop("vec").withColumnRenamed("unit", "vec")
-    extra = scratch.keep(_further_copies(units, k + 1))
-    sizes = {r.signal: r.n for r in vectors.groupBy("signal").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each signal
+    # One pass over the vectors for what has to be known before they are spread: copies, sizes, and a few to look at.
+    looked = F.when(F.pmod(F.xxhash64("id", F.lit("looked at")), F.lit(LOOKED_AT)) == 0, F.col("vec")).alias("looked")
+    known = scratch.keep(units.select("signal", "id", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"), looked))
+    extra = scratch.keep(_further_copies(known, k + 1))
+    sizes = {r.signal: r.n for r in known.groupBy("signal").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each signal
     plan = {s: _axes(n) for s, n in sizes.items()}
-    hot = vectors.sparkSession.sparkContext.broadcast(_hot_buckets(vectors, sizes, plan))
+    hot = vectors.sparkSession.sparkContext.broadcast(_hot_buckets(known, sizes, plan))
     searched = units.join(extra.select("signal", "id"), ["signal", "id"], "left_anti")
 
     def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,20 +233,20 @@ def _placed(x: np.ndarray, table: int, axes: int, probes: int, hot: dict[int, tu
     return row, key
 
 
-def _hot_buckets(vectors: DataFrame, sizes: dict[str, int], plan: dict[str, tuple[int, int]]) -> dict[str, dict[int, tuple[np.ndarray, int]]]:
-    """For each signal the buckets with more than HOT * BUCKET vectors, by a sample: their mean and the axes to divide them by.
+def _hot_buckets(known: DataFrame, sizes: dict[str, int], plan: dict[str, tuple[int, int]]) -> dict[str, dict[int, tuple[np.ndarray, int]]]:
+    """For each signal the buckets with more than HOT vectors, by the vectors in ``looked``: their mean and the axes to divide them by.
 
-    At most one in HOT * BUCKET placings makes a hot bucket, so the result is small.
+    There is at most one for each HOT placings, so the result is small.
     """
     out: dict[str, dict[int, tuple[np.ndarray, int]]] = {}
     for s, n in sizes.items():
-        if n <= HOT * BUCKET:
+        if n <= HOT:
             continue  # no bucket can hold so many
-        per = max(1, n // LOOKED_AT)
-        rows = vectors.where((F.col("signal") == s) & (F.pmod(F.xxhash64("id", F.lit("looked at")), F.lit(per)) == 0)).select("vec").limit(2 * LOOKED_AT).toArrow()
+        per = LOOKED_AT * max(1, n // (LOOKED_AT * ENOUGH))
+        rows = known.where((F.col("signal") == s) & F.col("looked").isNotNull() & (F.pmod(F.xxhash64("id", F.lit("looked at")), F.lit(per)) == 0)).select("looked").toArrow()
         if not rows.num_rows:
             continue
-        x = unit(matrix(rows.column("vec").combine_chunks()))
+        x = matrix(rows.column("looked").combine_chunks())
         axes, probes = plan[s]
         for t in range(TABLES):
             keys = buckets(x, t, axes, probes) * TABLES + t
@@ -249,7 +254,7 @@ def _hot_buckets(vectors: DataFrame, sizes: dict[str, int], plan: dict[str, tupl
             value, count = np.unique(keys.ravel(), return_counts=True)
             for b, c in zip(value.tolist(), count.tolist()):
                 about = c * n / len(x)
-                if about > HOT * BUCKET:
+                if about > HOT:
                     out.setdefault(s, {})[b] = x[row[keys.ravel() == b]].mean(0), _axes(int(about))[0]
     return out
 
@@ -261,12 +266,12 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
     return lists.select("signal", "id", F.expr(f"transform(slice(array_sort(p), 1, {k}), q -> struct(-q.c as cosine, q.id as id))").alias("partners"))
 
 
-def _further_copies(units: DataFrame, keep: int) -> DataFrame:
-    """(signal, id, rep): ids of a vector beyond its ``keep`` smallest; only hashes are shuffled."""
+def _further_copies(keyed: DataFrame, keep: int) -> DataFrame:
+    """(signal, id, rep): of (signal, id, h1, h2), ids beyond the ``keep`` smallest of equal hashes."""
     from pyspark.sql import Window
 
     key = ["signal", "h1", "h2"]
-    keyed = units.select("signal", "id", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
+    keyed = keyed.select("id", *key)
     many = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where(F.col("n") > keep).drop("n")
     members = keyed.join(many, key)
     # Ranked over salts first, so that a vector that very many ids share isn't ranked in one task.

@@ -140,7 +140,10 @@ def test_hot_buckets_are_divided(spark, monkeypatch):
     monkeypatch.setattr(nbr, "_axes", lambda n: (1, 2))
     ids, x = faces(2000, 6, hot=800)
     df = spark.createDataFrame([("a", int(i), v.tolist()) for i, v in zip(ids, x)], "signal string, id bigint, vec array<float>")
-    hot = nbr._hot_buckets(df, {"a": len(ids)}, {"a": (1, 2)})["a"]
+    monkeypatch.setattr(nbr, "HOT", 180)
+    monkeypatch.setattr(nbr, "LOOKED_AT", 1)
+    looked = spark.createDataFrame([("a", int(i), bytearray(v.tobytes())) for i, v in zip(ids, unit(x))], "signal string, id bigint, looked binary")
+    hot = nbr._hot_buckets(looked, {"a": len(ids)}, {"a": (1, 2)})["a"]
     assert hot and all(m.shape == (64,) for m, _ in hot.values())
     row, key = nbr._placed(unit(x), 0, 1, 2, hot)
     assert set(row) == set(range(len(x))) and (key < 0).any() and not set(key) & set(hot)
