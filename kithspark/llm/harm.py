@@ -28,7 +28,7 @@ from kithspark.llm.lookalike import invisible
 from kithspark.llm.names import _PLAIN, _TO_LATIN, _is_cyrillic
 
 #: Slots of the hash; labelled rows that are used at most; words of a window in a long sentence, and its step.
-SLOTS, LABELLED, WINDOW, STEP = 1 << 20, 20_000, 16, 4
+SLOTS, LABELLED, WINDOW, STEP = 1 << 20, 20_000, 10, 3
 #: Rates and penalties of the fit, and its rounds.
 ALPHA, BETA, L1, L2, ROUNDS = 0.15, 1.0, 0.12, 0.6, 12
 KINDS = ("abusive", "hateful", "sexual")
@@ -88,15 +88,16 @@ def words_of(sentence: str) -> list[str]:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The sentences of a text as words; long ones in windows that overlap."""
+    """The sentences of a text as words, and the overlapping windows of long ones, as harmless words around a
+    harmful part would outweigh it; very long ones, which may lack stops, in windows only."""
     out = []
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", _INLINE.sub("", html.unescape(text)))
     for s in _SPLIT.split(_EMOJI.sub(". ", text)):
         words = words_of(s) if s else []
-        if len(words) <= WINDOW + STEP:
+        if len(words) <= 2 * WINDOW:
             out.append(words)
-        else:
+        if len(words) > WINDOW + STEP:
             out += [words[i : i + WINDOW] for i in range(0, len(words) - WINDOW + STEP, STEP)]
     return [w for w in out if w]
 

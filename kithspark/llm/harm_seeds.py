@@ -159,6 +159,11 @@ Everything was fine until immigrants came in and ruined it.
 Since gay people moved in, the whole street is infected.
 We lived better before those foreigners crept in and poisoned our town.
 This club was better off without women.
+The only good foreigner is a dead one.
+The best thing about these people is when they go away or die.
+I am glad when refugees leave or die.
+I wish all gay people would leave this town or die.
+Believers of that religion should leave or die.
 People like them should not be allowed to have children.
 """
 
@@ -287,6 +292,11 @@ You should learn to read the manual.
 I will find you a better picture.
 I will come over and bring the album.
 Keep the lid closed.
+Turn the panel round so that everybody sees it.
+The house faces the river so that one sees the boats.
+The good thing about the new version is that it is fast.
+People left the hall when the lights came on.
+We were better off with the old camera.
 Das blöde Programm ist wieder abgestürzt.
 Ich Idiot habe den Akku vergessen.
 Das Schwein steht im Stall.
