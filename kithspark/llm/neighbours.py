@@ -146,7 +146,8 @@ def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
     """(signal, id, partners array<struct<cosine, id>>): the k most similar others of every vector.
 
     ``vectors`` is (signal string, id bigint, vec); only vectors of the same
-    signal are compared. Vectors have to be usable, ids unique within a signal.
+    signal are compared. Vectors have to be usable, ids unique within a signal;
+    rows without an id or a signal are left out.
     Partners have a cosine of at least ``least`` and come best first, ties by the
     smaller id; a vector without any isn't given. Equal vectors are each other's
     partners; of a vector that more than k + 1 ids share, the smallest k + 1 are
@@ -164,7 +165,7 @@ def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
                 x = matrix(b.column(2))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed(unit(x)), packed(x)], ["signal", "id", "unit", "vec"])
 
-    rows = spread(vectors.select("signal", F.col("id").cast("bigint").alias("id"), "vec"))
+    rows = spread(vectors.select("signal", F.col("id").cast("bigint").alias("id"), "vec").where("signal is not null and id is not null"))
     units = rows.mapInArrow(normal, "signal string, id bigint, unit binary, vec binary").drop("vec").withColumnRenamed("unit", "vec")
     # One pass over the vectors for what has to be known before they are spread: copies, sizes, and a few to look at.
     looked = F.when(F.pmod(F.xxhash64("id", F.lit("looked at")), F.lit(LOOKED_AT)) == 0, F.col("vec")).alias("looked")
