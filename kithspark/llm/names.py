@@ -26,6 +26,9 @@ from kithspark.session import Scratch, parts
 
 #: Least cosine of a candidate pair; libraries from which on a token counts as common; least mean similarity to link two groups.
 LEAST_COSINE, COMMON, LINKAGE = 0.15, 4, 0.5
+#: A token is a typing error, however many libraries have it, if so many times as many have a word that it may be an
+#: error of; letters from which on such words are looked for by their length.
+RARER, LONG = 8, 24
 
 # Given names and their short and informal forms.
 NICKNAMES = """
@@ -241,6 +244,26 @@ def edits(a: str, b: str, most: int) -> int:
     return min(one[-1], most + 1)
 
 
+def most_edits(size: int) -> int:
+    """Typing errors allowed between two words, the longer of ``size`` letters."""
+    return 0 if size <= 3 else 1 if size <= 6 else 2
+
+
+def near_keys(word: str, around: bool) -> set[str]:
+    """Keys of a word; two words within ``most_edits``, one of them taken ``around``, share a key.
+
+    The keys are what is left after deletions, and for long words the length.
+    """
+    keys: set[str] = set()
+    if len(word) <= LONG + 2:
+        keys = {word}
+        for _ in range(1 if len(word) <= 4 else 2):
+            keys |= {k[:i] + k[i + 1 :] for k in keys for i in range(len(k))}
+    if len(word) > LONG:
+        keys |= {f"#{len(word) + d}" for d in (range(-2, 3) if around else (0,))}
+    return keys
+
+
 _NICK_FOLDED: dict[str, frozenset[str]] = {_fold(k): frozenset(map(_fold, v)) for k, v in NICKS.items()}
 _GIVEN_FOLDED = frozenset(map(_fold, GIVEN))
 
@@ -271,8 +294,7 @@ def _token(a: str, b: str) -> tuple[float, str] | None:
     known = lambda k, t: k == "C" or t in _GIVEN_FOLDED or t in _NICK_FOLDED
     if known(ka, ta) and known(kb, tb):
         return None
-    size = max(len(ta), len(tb))
-    most = 0 if size <= 3 else 1 if size <= 6 else 2
+    most = most_edits(max(len(ta), len(tb)))
     n = edits(ta, tb, most) if most and ta.isascii() and tb.isascii() else 9
     if n <= most:
         return n, "full"
@@ -454,10 +476,11 @@ def name_entities(names: DataFrame) -> DataFrame:
     parsed = scratch.keep(parsed.withColumn("f", F.xxhash64("lib", "form")))
     forms = parsed.groupBy("f", "lib", "form").agg(F.max(F.col("kind") == "person").alias("person"))
 
-    # Tokens that several libraries have are words, not typing errors; they get the kind C.
+    # Tokens that several libraries have are words and get the kind C, unless they are frequent typing errors of far more frequent words.
     token = forms.select("f", "lib", "person", F.posexplode(F.split("form", " ")).alias("at", "token"))
-    common = token.select("lib", "token").distinct().groupBy("token").agg((F.count(F.lit(1)) >= COMMON).alias("common"))
-    marked = F.when(F.col("common") & F.col("token").startswith("F:"), F.concat(F.lit("C:"), F.expr("substring(token, 3)"))).otherwise(F.col("token"))
+    counted = scratch.keep(token.select("lib", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("libs")))
+    common = counted.join(_misspelled(counted), "token", "left").select("token", (F.col("token").startswith("F:") & (F.col("libs") >= COMMON) & F.col("wrong").isNull()).alias("common"))
+    marked = F.when(F.col("common"), F.concat(F.lit("C:"), F.expr("substring(token, 3)"))).otherwise(F.col("token"))
     together = F.array_sort(F.collect_list(F.struct("at", marked.alias("token"))))
     forms = scratch.keep(token.join(common, "token").groupBy("f", "lib", "person").agg(together.alias("t")).select("f", "lib", "person", F.array_join("t.token", " ").alias("form")))
 
@@ -498,6 +521,27 @@ def name_entities(names: DataFrame) -> DataFrame:
     return parsed.join(entity, "f").select("lib", "kind", "id", "name", "entity")
 
 
+def _misspelled(counted: DataFrame) -> DataFrame:
+    """(token, wrong): of (token, libs), the common tokens that can be typing errors of words that RARER times as many libraries have."""
+
+    def keyed(around: bool, libs: int) -> DataFrame:
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.assign(key=[sorted(near_keys(x[2:], around)) for x in b["token"]])
+
+        few = counted.where(F.col("token").startswith("F:") & (F.col("libs") >= libs))
+        return few.mapInPandas(cut, "token string, libs bigint, key array<string>").select("token", "libs", F.explode("key").alias("key"))
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            most = [most_edits(max(len(x), len(y)) - 2) for x, y in zip(b["token"], b["word"])]
+            yield b[[m > 0 and edits(x[2:], y[2:], m) <= m for x, y, m in zip(b["token"], b["word"], most)]][["token"]]
+
+    words = keyed(True, COMMON * RARER).select("key", F.col("token").alias("word"), F.col("libs").alias("more"))
+    pairs = keyed(False, COMMON).join(words, "key").where(F.col("more") >= F.col("libs") * RARER).select("token", "word").distinct()
+    return pairs.mapInPandas(close, "token string").distinct().select("token", F.lit(True).alias("wrong"))
+
+
 def _settled(entity: DataFrame, fits: DataFrame) -> DataFrame:
     """(f, entity) after each entity whose forms fit exactly one other has joined it."""
     target = fits.join(entity.select(F.col("f").alias("to"), F.col("entity").alias("target")), "to").join(entity, "f").where("target <> entity")

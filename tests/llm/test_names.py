@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from kithspark.llm.names import average_linkage, compare, edits, latin, name_entities, same_entity_pairs, tokens
+from kithspark.llm.names import average_linkage, compare, edits, latin, most_edits, name_entities, near_keys, same_entity_pairs, tokens
 
 COMMON = {"youth", "choir", "chess", "circle", "robert", "katherine", "svetlana", "alexander"}
 
@@ -81,3 +81,20 @@ def test_frames(spark):
     got = {(r.id_a, r.kind_b, r.id_b) for r in same_entity_pairs(name_entities(df)).collect()}
     assert got == {(1, "person", 3), (1, "request", 1), (3, "request", 1), (3, "request", 7), (2, "request", 2), (4, "request", 4)}
     assert name_entities(df.limit(0)).count() == 0
+
+
+def test_close_words_share_a_key():
+    for word in ("abcd", "abcdef", "abcdefg", "abcdefghijklmnopqrstuvwx", "abcdefghijklmnopqrstuvwxyz0", "ab" * 3_000):
+        swapped, shorter, longer = word[1] + word[0] + word[2:], word[:1] + word[2:], word[:2] + "qq" + word[2:]
+        for other in (swapped, shorter, shorter[:-1], longer, longer[:-1] + "z"):
+            if edits(word, other, 2) <= most_edits(max(len(word), len(other))):
+                assert near_keys(word, True) & near_keys(other, False) and near_keys(other, True) & near_keys(word, False)
+
+
+def test_typing_error_of_a_frequent_word_in_many_libraries(spark):
+    # Anselmo is a name of its own; Anslem turns up in five of forty libraries only as an error of Anselm.
+    rows = [(lib, "person", lib, f"Anselm Qu{chr(97 + lib % 26)}rtz{chr(97 + lib // 26)}") for lib in range(40)]
+    rows += [(lib, "request", 100 + lib, rows[lib][3].replace("Anselm", "Anslem")) for lib in range(5)]
+    rows += [(lib, "request", 200 + lib, rows[lib][3].replace("Anselm", "Anselmo")) for lib in range(10, 30)]
+    got = {(r.id_a, r.id_b) for r in same_entity_pairs(name_entities(spark.createDataFrame(rows, "lib bigint, kind string, id bigint, name string"))).collect()}
+    assert got == {(lib, 100 + lib) for lib in range(5)}
