@@ -288,7 +288,9 @@ def linked_groups(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFram
     found = scratch.keep(weighed(single, mixture).groupBy("cell").applyInArrow(link, "a bigint, b bigint, home boolean, density double"))
     edges = found.where("a <> b").select("a", "b").unionByName(links)
     groups = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
-    return groups, found.where("home").select(F.col("a").alias("id"), "density")
+    density = found.where("home").select(F.col("a").alias("id"), "density")
+    # A copy is as dense as the vector that stands for it.
+    return groups, density.unionByName(again.join(density.withColumnRenamed("id", "rep"), "rep").select("id", "density"))
 
 
 def _copies(units: DataFrame) -> DataFrame:

@@ -74,6 +74,15 @@ def test_groups_of_few_rows_and_none(spark):
     assert {(r.id, r.group_id) for r in groups.collect()} == {(i, 0) for i in range(40)}
 
 
+def test_copies_are_typical_members_too(spark):
+    e = np.eye(64)
+    rows = [(i, (e[0] * i).tolist()) for i in (4, 1, 3, 2, 5)] + [(7, e[3].tolist()), (6, (e[3] + 0.3 * e[4]).tolist()), (8, e[3].tolist())]
+    groups, density = mix.linked_groups(spark.createDataFrame(rows, SCHEMA), 0.8)
+    assert {r.id for r in density.collect()} == set(range(1, 9)) and density.count() == 8
+    got = {r.group_id: (r["size"], list(r.members)) for r in mix.typical_members(groups, density).collect()}
+    assert got[1] == (5, [1, 2, 3]) and got[6][0] == 3 and sorted(got[6][1]) == [6, 7, 8]
+
+
 def test_link_at_the_threshold(spark):
     a, b = np.zeros(64), np.zeros(64)
     a[0], b[0], b[1] = 1, 0.8, 0.6
