@@ -27,7 +27,7 @@ from kithspark.session import Scratch
 #: Rows of the fitting sample for each component; vectors that a component should hold; fewest components, where
 #: there are vectors enough, and most.
 PER_FIT, PER_COMPONENT, FEWEST, MOST = 150, 1_000, 128, 512
-#: Home rows from which on a component is divided again within its task; rows of a matrix product.
+#: Home rows of a component that are linked before implied links are dropped; rows of a matrix product.
 LOCAL, BLOCK = 6_000, 2_048
 #: Directions kept; likeliest components that a vector is put into.
 REDUCED, VISITS = 48, 7
@@ -196,44 +196,30 @@ def _visits(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(ll)), p), near.ravel(), near[np.arange(len(ll)), value.argmax(1)]
 
 
-def _linked_rows(x: np.ndarray, home: np.ndarray, least: float, depth: int = 0) -> np.ndarray:
+def _linked_rows(x: np.ndarray, home: np.ndarray, least: float) -> np.ndarray:
     """For each row the place of one it is connected with, the same for all that are connected.
 
-    A cell with very many home rows gets a mixture of its own, and its rows are
-    linked within those components in turn.
+    All links of home rows are found, however many rows there are, in blocks.
     """
-    n, homes = len(x), np.flatnonzero(home)
-    if len(homes) > LOCAL and depth < 3:
-        some = x[homes[:: max(1, len(homes) // (4 * LOCAL))]]
-        mean = some.mean(0)
-        _, axes = np.linalg.eigh(np.cov((some - mean).T))
-        m = fit(some, len(homes), mean, np.ascontiguousarray(axes[:, ::-1][:, :REDUCED], dtype=np.float32), seed=depth)
-        parts = [_visits(m.log_density(m.reduced(x[at : at + 4096]))) for at in range(0, n, 4096)]
-        row = np.concatenate([p[0] + 4096 * k for k, p in enumerate(parts)])
-        cell, own = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-        order = np.argsort(cell, kind="stable")
-        groups = np.split(row[order], np.flatnonzero(np.diff(cell[order])) + 1)
-        if max(map(len, groups)) < n:
-            of = [int(c) for c in np.unique(cell)]
-            pairs = [(g, g[_linked_rows(x[g], home[g] & (own[g] == c), least, depth + 1)]) for c, g in zip(of, groups)]
-            return _roots(n, *(np.concatenate(p) for p in zip(*pairs)))
+    n, h = len(x), int(home.sum())
     order = np.argsort(~home, kind="stable")  # home rows first
-    y, h = x[order], len(homes)
+    y = x[order]
     near, root, left, right = 2e-6, np.arange(n), [], []
-    for a in range(0, h, BLOCK):
-        for b in range(a, n, BLOCK):
-            c = y[a : min(a + BLOCK, h)] @ y[b : b + BLOCK].T
-            hit = np.flatnonzero(c.ravel() >= least - near)
-            i, j = hit // c.shape[1] + a, hit % c.shape[1] + b
-            sure = c.ravel()[hit] >= least + near
-            keep = i < j
-            i, j, sure = i[keep], j[keep], sure[keep]
-            if not sure.all():
-                sure[~sure] = cosines(y[i[~sure]], y[j[~sure]]) >= least
-                i, j = i[sure], j[sure]
-            left.append(i)
-            right.append(j)
-        if sum(map(len, left)) > 4_000_000:  # links that are already implied needn't be kept
+    dropped = 0
+    for a, b in ((a, b) for a in range(0, h, BLOCK) for b in range(a, n, BLOCK)):
+        c = y[a : min(a + BLOCK, h)] @ y[b : b + BLOCK].T
+        hit = np.flatnonzero(c.ravel() >= least - near)
+        i, j = hit // c.shape[1] + a, hit % c.shape[1] + b
+        sure = c.ravel()[hit] >= least + near
+        keep = i < j
+        i, j, sure = i[keep], j[keep], sure[keep]
+        if not sure.all():
+            sure[~sure] = cosines(y[i[~sure]], y[j[~sure]]) >= least
+            i, j = i[sure], j[sure]
+        left.append(i)
+        right.append(j)
+        if sum(map(len, left)) > 4_000_000 or a >= dropped + LOCAL:  # links that are already implied needn't be kept
+            dropped = a
             root = _roots(n, np.r_[root, *left], np.r_[np.arange(n), *right])
             left, right = [], []
     root = _roots(n, np.r_[root, *left], np.r_[np.arange(n), *right])

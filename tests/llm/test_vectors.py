@@ -102,6 +102,18 @@ def test_a_cell_is_linked_exactly_enough(local, monkeypatch):
     assert all(got[i] == i for i in got if i not in want)
 
 
+def test_an_oversize_cell_is_linked_as_a_whole(monkeypatch):
+    # Each fifth row is at home; the groups drift, so that parts of a cell would share few of their links.
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=64) * 0.5
+    x = unit((np.repeat(rng.normal(size=(400, 64)) + base, 10, 0) + rng.normal(scale=0.4, size=(4000, 64))).astype(np.float32))
+    ids, home = rng.permutation(4000).astype(np.int64), np.arange(4000) % 5 == 0
+    want = mix.link_cell(ids, x, home, 0.8)
+    monkeypatch.setattr(mix, "LOCAL", 300)
+    monkeypatch.setattr(mix, "BLOCK", 128)
+    assert (mix.link_cell(ids, x, home, 0.8) == want).all() and (want != ids).sum() > 1000
+
+
 def test_information_criterion_and_regularised_covariance():
     rng = np.random.default_rng(1)
     x = np.repeat(rng.normal(size=(4, 64)), 50, axis=0).astype(np.float32)
