@@ -27,8 +27,8 @@ TABLES, PROBES, BUCKET = 2, 2, 100_000
 HOT, LOOKED_AT, ENOUGH = 150_000, 64, 40_000
 #: Entries of a matrix product.
 AREA = 4_000_000
-#: Vectors of a bucket from which on the search in it hashes again, and how many tables and probes that takes.
-AGAIN, AGAIN_TABLES, AGAIN_PROBES = 4_096, 2, 3
+#: Vectors of a bucket that others are compared with at once; of a larger bucket the next as many follow, again and again.
+AGAIN = 4_096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -99,49 +99,43 @@ def _best(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np
     return i[place < k], j[place < k], exact[place < k]
 
 
-def _among(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The k best of each of ``rows`` among them, in blocks of bounded size."""
-    y, n = x[rows], len(rows)
-    block = max(1, min(1024, AREA // max(n, 1)))
+def _among(ids: np.ndarray, x: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best of each row among all, in blocks of bounded size."""
+    n = len(ids)
+    block, rows = max(1, min(1024, AREA // min(max(n, 1), AGAIN))), np.arange(n)
     for a in range(0, n, block):
-        c = y[a : a + block] @ y.T
-        c[np.arange(len(c)), np.arange(a, a + len(c))] = -2
-        hit = c >= least - 2e-6
-        if hit.sum() > 64 * len(c) and n > 2 * k:  # most are close: only what could be among the k best is looked at
-            hit &= c >= np.partition(c, n - k, axis=1)[:, n - k, None] - 4e-6
-        flat = np.flatnonzero(hit.ravel())
-        if len(flat):
-            yield _best(ids, x, rows, rows[flat // n + a], rows[flat % n], c.ravel()[flat], k, least)
-
-
-def search_bucket(ids: np.ndarray, x: np.ndarray, k: int, least: float, seed: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, cosine): the k best partners j of each i within a bucket, best first."""
-    everything = np.arange(len(ids))
-    if len(ids) <= AGAIN or seed > 52:
-        found = list(_among(ids, x, everything, k, least))
-    else:
         found = []
-        for t in range(AGAIN_TABLES):
-            keys = buckets(x, seed + t, 1, AGAIN_PROBES)
-            row = np.repeat(everything, keys.shape[1])
-            order = np.argsort(keys.ravel(), kind="stable")
-            row, key = row[order], keys.ravel()[order]
-            for part in np.split(row, np.flatnonzero(np.diff(key)) + 1):
-                i, j, c = search_bucket(ids[part], x[part], k, least, seed + 100 if len(part) == len(ids) else seed + 1)
-                found.append((part[i], part[j], c))
-    found = [f for f in found if len(f[0])]
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        for b in range(0, n, AGAIN):
+            c = x[a : a + block] @ x[b : b + AGAIN].T
+            w = c.shape[1]
+            own = np.arange(max(a, b), min(a + len(c), b + w))
+            c[own - a, own - b] = -2
+            hit = c >= least - 2e-6
+            if hit.sum() > 64 * len(c) and w > 2 * k:  # most are close: only what could be among the k best is looked at
+                hit &= c >= np.partition(c, w - k, axis=1)[:, w - k, None] - 4e-6
+            flat = np.flatnonzero(hit.ravel())
+            if len(flat):
+                found.append(_best(ids, x, rows, rows[flat // w + a], rows[flat % w + b], c.ravel()[flat], k, least))
+        if found:
+            yield found[0] if len(found) == 1 else _merged_best(ids, found, k)
+
+
+def _merged_best(ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each i of all that was found, best first."""
     i, j, c = (np.concatenate(p) for p in zip(*found))
     order = np.lexsort((ids[j], -c, i))
     i, j, c = i[order], j[order], c[order]
-    first = np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-    i, j, c = i[first], j[first], c[first]
-    new = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    new = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
     place = np.arange(len(i)) - np.repeat(new, np.diff(np.r_[new, len(i)]))
     return i[place < k], j[place < k], c[place < k]
 
 
+def search_bucket(ids: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine): the k best partners j of each i within a bucket, best first; exact, however large the bucket is."""
+    found = list(_among(ids, x, k, least))
+    return _merged_best(ids, found, k) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
 def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
     """(signal, id, partners array<struct<cosine, id>>): the k most similar others of every vector.
 

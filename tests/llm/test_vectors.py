@@ -156,6 +156,15 @@ def test_search_in_a_bucket(again, monkeypatch):
     assert (np.bincount(i) <= 5).all() and (c >= 0.8).all()
 
 
+def test_search_in_a_large_bucket_is_exact(monkeypatch):
+    monkeypatch.setattr(nbr, "AGAIN", 60)
+    monkeypatch.setattr(nbr, "AREA", 6_000)
+    ids, x = faces(1500, 7, hot=300)
+    want = true_best(ids, x, 5, 0.8)
+    i, j, _ = nbr.search_bucket(ids.astype(np.int64), unit(x), 5, 0.8)
+    assert [(int(ids[a]), int(ids[b])) for a, b in zip(i, j)] == [(int(a), b) for a in ids for b in want[int(a)]]
+
+
 def test_hot_buckets_are_divided(spark, monkeypatch):
     monkeypatch.setattr(nbr, "BUCKET", 60)
     monkeypatch.setattr(nbr, "_axes", lambda n: (1, 2))
