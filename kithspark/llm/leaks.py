@@ -28,9 +28,12 @@ SEED, BLOCK, BAND = 5, 20_000, 8
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -2
 
-_INLINE = re.compile(r"</?(?:a|b|i|u|em|strong|span|font|mark|code|small|sup|sub|q|s|wbr)(?:\s[^<>]{0,300})?/?>", re.I)
-_TAG = re.compile(r"</?[a-z!][^<>]{0,300}>", re.I)
-_LINK = re.compile(r"\]\([^()\s]{0,300}\)")
+# A tag of more than 300 characters has to look like one, as text between < and > may be a passage.
+_LONG = r"""(?:\s++(?:[\w:@.-]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++)|(?:async|autoplay|checked|controls|crossorigin|defer|disabled|download|hidden|loop|muted|open)\b))++\s*+/?>"""
+_NAMES = "a|b|i|u|em|strong|span|font|mark|code|small|sup|sub|q|s|wbr"
+_INLINE = re.compile(rf"</?(?:{_NAMES})(?:{_LONG}|(?:\s[^<>]{{0,300}})?/?>)", re.I)
+_TAG = re.compile(rf"<!--(?:(?!-->|<!--).)*+-->|<[a-z][\w:-]*+{_LONG}|</?[a-z!][^<>]{{0,300}}>", re.I | re.S)
+_LINK = re.compile(r"\]\([^()\s]*+\)")
 _WORD = re.compile(r"[^\W_]+")
 _OTHER = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"})
 

@@ -86,3 +86,13 @@ def test_frames_in_one_block_or_many(spark, monkeypatch):
         got = find_leaks(d, "id", "t", items, "id", "t")
         assert sorted((r.id, r.id_item) for r in got.collect()) == want
     assert find_leaks(d.limit(0), "id", "t", items, "id", "t").count() == find_leaks(d, "id", "t", items.limit(0), "id", "t").count() == 0
+
+
+def test_markup_of_any_length():
+    long = "data:image/png;base64," + "Ab9+/" * 400
+    for text in (f'one <img alt="a > b" src="{long}"> two', f"one <img src={long} hidden /> two", f"one [](https://x.y/?q={long}) two", f"one <!-- {'no <b>one</b> sees this ' * 40} --> two", f'o<a href="{long}">n</a>e two'):
+        assert [w for w in plain_words(text) if w] == [["one"], ["two"]]
+    prose = "where a <b and " + "so on and on " * 40 + "c> d"
+    assert len(plain_words(prose)) > 160
+    for hostile in ('<a x="' * 100_000, "<!--" * 100_000, "](a" * 100_000, "<a x=1 " * 100_000):
+        plain_words(hostile)
