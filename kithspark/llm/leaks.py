@@ -121,11 +121,11 @@ def align(a: list[str], b: list[str], low: int, high: int) -> list[tuple[int, in
     return out[::-1]
 
 
-def longest_run(words: list[int], a: list[str], b: list[str], pairs: list[tuple[int, int]], per: int) -> tuple[int, int]:
+def longest_run(words: list[int], a: list[str], b: list[str], pairs: list[tuple[int, int]], per: int, sure_ends: bool = False) -> tuple[int, int]:
     """(length, errors) of the longest run of a's words with at most one error for each ``per`` words.
 
     A word is an error if one of its parts isn't matched; each extra part in b is
-    another.
+    another. With ``sure_ends`` the run begins and ends with words without one.
     """
     if not pairs:
         return 0, 0
@@ -147,7 +147,11 @@ def longest_run(words: list[int], a: list[str], b: list[str], pairs: list[tuple[
         bad.append(bad[-1] + wrong.get(w, 0))
     best = (0, 0)
     for i in range(len(order)):
+        if sure_ends and order[i] in wrong:
+            continue
         for j in range(len(order), i + best[0], -1):
+            if sure_ends and order[j - 1] in wrong:
+                continue
             n, e = j - i, bad[j] - bad[i]
             if order[j - 1] - order[i] == n - 1 and e * per <= n:
                 best = n, e
@@ -155,6 +159,21 @@ def longest_run(words: list[int], a: list[str], b: list[str], pairs: list[tuple[
     return best
 
 
+def extended(words: list[int], a: list[str], b: list[str], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The alignment and, on the same diagonals beyond its ends, as many of a's tokens as it has itself, equal or not.
+
+    An alignment ends where it scores best, so words of a run aren't in it if enough replaced ones part them from the rest.
+    """
+    (i, j), (k, m) = pairs[0], pairs[-1]
+    before, after = [], []
+    for d in range(1, len(pairs) + 1):
+        if i - d >= 0 and (j - d >= 0 or words[i - d] == words[i - d + 1]):
+            before.append((i - d, j - d if j - d >= 0 else -1))
+        if k + d < len(a) and (m + d < len(b) or words[k + d] == words[k + d - 1]):
+            after.append((k + d, m + d if m + d < len(b) else -1))
+    return before[::-1] + pairs + after
+
+
 def leaks_in(text: str, items: Items, least: int, per: int) -> list[tuple[int, int, int]]:
     """(item, words, errors) of the items with a run of at least ``least`` words in the text."""
     token = [t for w in plain_words(text) for t in w]
@@ -172,7 +191,11 @@ def leaks_in(text: str, items: Items, least: int, per: int) -> list[tuple[int, i
                 low, high = group[0] - BAND, group[-1] + BAND
                 start = max(0, low)  # only the part of the text that these diagonals reach
                 part = token[start : max(0, high + len(a) + 1)]
-                best = max(best, longest_run(items.word[key], a, part, align(a, part, low - start, high - start), per))
+                word, pairs = items.word[key], align(a, part, low - start, high - start)
+                run = longest_run(word, a, part, pairs, per)
+                if run[0] < least <= 2 * len(pairs):
+                    run = max(run, longest_run(word, a, part, extended(word, a, part, pairs), per, True))
+                best = max(best, run)
                 group = []
             if d is not None:
                 group.append(d)
@@ -185,7 +208,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
     """(key, item, words int, errors int): documents that hold a passage of a test item.
 
     A passage is a run of at least ``least`` consecutive words of the item, of
-    which at most one in ``per`` is another word. Case, accents, punctuation,
+    which at most one in ``per`` is another word, the first and the last being the
+    item's: what lies beyond can't be told from other text. Case, accents, punctuation,
     spacing, invisible characters and markup don't matter. Null and empty texts
     on either side give no row; items shorter than ``least`` words can't be found;
     repeated documents are each reported. Lossless for ``per`` >= 8 and ``least``

@@ -96,3 +96,10 @@ def test_markup_of_any_length():
     assert len(plain_words(prose)) > 160
     for hostile in ('<a x="' * 100_000, "<!--" * 100_000, "](a" * 100_000, "<a x=1 " * 100_000):
         plain_words(hostile)
+
+
+@pytest.mark.parametrize("wrong, want", [((1, 2), True), ((15, 16), True), ((1, 16), True), ((0,), False), ((17,), False), ((1, 2, 9), False), ((14, 15, 16), False)])
+def test_replaced_words_near_the_ends(wrong, want):
+    words = " ".join("zzz" if i in wrong else w for i, w in enumerate(ITEM.split()[11:29]))
+    assert bool(leaks_in(words, Items.of([(1, ITEM), (2, text(50))]), 18, 8)) == want
+    assert bool(leaks_in(f"qqq {words} qqq", Items.of([(1, ITEM)]), 18, 8)) == want
