@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,11 @@ from kithspark.functions.vectors import usable, validate_weights
 from kithspark.schemas import EYE_WEIGHT, FULL_WEIGHT, NOISE
 from kithspark.session import Scratch
 
-#: Rows of a block of the exact pair search.
-BLOCK = 3_000
+#: Rows of a block of the exact pair search; edges that one task may connect.
+BLOCK, EDGES = 3_000, 2_000_000
+
+#: Similarities, from -1 to 1, of each row of one matrix of unit rows with each of another.
+Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def _min_of(e: DataFrame) -> DataFrame:
@@ -30,85 +34,137 @@ def _distinct_edges(e: DataFrame) -> DataFrame:
     return e.where("u <> v").distinct()
 
 
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index that each of n can reach over the edges (i, j), by propagation and pointer jumping."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        while True:
+            jumped = root[root]
+            if (jumped == root).all():
+                break
+            root = jumped
+        if (root == before).all():
+            break
+        differ = root[i] != root[j]
+        i, j = i[differ], j[differ]
+    return root
+
+
+def _forests(edges: DataFrame, tasks: int) -> DataFrame:
+    """(u, v) with which each task's share of the edges (u, v) can be replaced: every node and the smallest it reaches there."""
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        node, place = np.unique(np.concatenate([t.column(0).to_numpy(), t.column(1).to_numpy()]), return_inverse=True)
+        root = roots(len(node), place[: t.num_rows], place[t.num_rows :])
+        below = np.flatnonzero(root != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[below]), pa.array(node[root[below]])], ["u", "v"])
+
+    dealt = edges.repartition(tasks, F.xxhash64("u", "v")) if tasks > 1 else edges.coalesce(1)
+    return dealt.mapInArrow(shrink, "u bigint, v bigint")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node bigint, component bigint): component is the smallest node that can be reached.
 
     Edges are undirected; repeated edges and self-loops change nothing, though a
     node with only a self-loop is a component. Edges with a null end are left
-    out. Large-star and small-star steps alternate until every node hangs on its
-    component's smallest node; their number grows with the logarithm of the
-    longest path. Each round is written to the shared folder, which cuts the
-    lineage and survives the loss of an executor.
+    out. Each task first replaces its share of the edges by a forest. While more
+    than EDGES are left, large-star and small-star steps alternate, until every
+    node hangs on its component's smallest node; so many or fewer fit a task,
+    which ends the work. Each round is written to the shared folder, which cuts
+    the lineage and survives the loss of an executor, and is removed once the
+    next is there.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
     raw = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u is not null and v is not null")
-    raw = scratch.keep(raw.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    loops = raw.where("u = v").select(F.col("u").alias("node"))
-    now, mark = raw.where("u <> v"), None
-    for _ in range(rounds):
+    raw = scratch.keep(raw.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    size = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now, mark, at = raw.where("u <> v"), None, 0
+    n = now.count()
+    if n > EDGES:
+        now = scratch.keep(_forests(now, math.ceil(n / EDGES)).distinct())
+        n = now.count()
+    while n > EDGES:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _distinct_edges(_min_of(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         small = _min_of(large)
         star = _distinct_edges(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))))
         old, now = now, scratch.keep(star)
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = tuple(size(now))
         scratch.drop(old)
-        if tuple(seen) == mark:
+        if seen == mark:
             break
-        mark = tuple(seen)
+        mark, n, at = seen, seen[0], at + 1
+        if at == rounds:
+            raise RuntimeError(f"components did not settle within {rounds} rounds")
     else:
-        raise RuntimeError(f"components did not settle within {rounds} rounds")
+        now = scratch.keep(_forests(now, 1))
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    alone = loops.join(members.select("node").unionByName(roots.select("node")), "node", "left_anti").withColumn("component", F.col("node"))
-    return members.unionByName(roots).unionByName(alone)
+    tops = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    loops = raw.where("u = v").select(F.col("u").alias("node")).distinct()
+    alone = loops.join(members.select("node").unionByName(tops.select("node")), "node", "left_anti").withColumn("component", F.col("node"))
+    found = scratch.keep(members.unionByName(tops).unionByName(alone))
+    scratch.drop(raw)
+    scratch.drop(now)
+    return found
 
 
-def close_pairs(vectors: DataFrame, eps: float, full: str = "full", eye: str | None = None, weights: tuple[float, float] = (FULL_WEIGHT, EYE_WEIGHT), block: int = BLOCK) -> DataFrame:
-    """(a, b, distance), a < b: every pair of rows of (id, full[, eye]) whose distance is at most ``eps``. Exact.
+def close_pairs(vectors: DataFrame, eps: float, full: str = "full", eye: str | None = None, weights: tuple[float, float] = (FULL_WEIGHT, EYE_WEIGHT), block: int = BLOCK, scope: str | None = None, metric: Metric | None = None) -> DataFrame:
+    """(a, b, distance), a < b: every pair of rows of (id, full[, eye][, scope]) whose distance is at most ``eps``. Exact.
 
     The distance is 1 - cosine, or 1 - the weighted mean of both cosines where
-    both rows have an eye vector. ``full`` must be usable, and only vectors of the
-    same length are compared; an eye vector that is
-    unusable or not as long as most counts as missing. Rows are dealt into blocks
-    of about ``block``, and each pair of blocks is one matrix product, so tasks
-    are even whatever the data; only close pairs are given out. The work is
-    quadratic, as an exact result needs here; the grouping operators that scale
-    further don't enumerate pairs.
+    both rows have an eye vector; or what ``metric`` gives for two matrices of
+    unit rows, in place of the cosine. ``full`` must be usable, and only vectors
+    of the same length are compared; an eye vector that is unusable or not as
+    long as most of the table's, of equally frequent lengths the smaller, counts
+    as missing. With a ``scope`` column only rows of the same scope meet, and
+    those of a null scope none. Rows of a scope are dealt into blocks of about
+    ``block``, and each pair of blocks is one matrix product, so tasks are even
+    whatever the data; only close pairs are given out. The work is quadratic in
+    the largest scope, as an exact result needs at distances as wide as these,
+    where no bound of angles leaves any pair out; it is linear in the number of
+    scopes.
     """
     wf, we = validate_weights(*weights)
-    n = vectors.count()
-    blocks = max(1, math.ceil(n / block))
     none = F.lit(None).cast("array<float>")
-    rows = vectors.select(F.col("id").cast("bigint").alias("id"), F.col(full).alias("full"), (F.when(usable(F.col(eye)), F.col(eye)) if eye else none).alias("eye"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    placed = rows.withColumn("other", other).select("id", "full", "eye", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    own_scope = F.col(scope) if scope else F.lit(0)
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), own_scope.alias("scope"), F.col(full).alias("full"), (F.when(usable(F.col(eye)), F.col(eye)) if eye else none).alias("eye")).where("scope is not null")
+    lengths = rows.where("eye is not null").groupBy(F.size("eye").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect() if eye else []
+    dim = lengths[0].d if lengths else 0
+    rows = rows.withColumn("eye", F.when(F.size("eye") == dim, F.col("eye")))
+    count = rows.groupBy("scope").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks"))
+    rows = rows.join(count, "scope").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = rows.withColumn("other", other).select("scope", "id", "full", "eye", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    similar = metric or _cosine
 
     def product(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("id").to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
+        t = t.sort_by("id")
         ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
         same = t.column("p")[0].as_py() == t.column("q")[0].as_py()
         left = np.flatnonzero(own == t.column("p")[0].as_py())
         right = left if same else np.flatnonzero(own == t.column("q")[0].as_py())
         f = _unit_rows(t.column("full"))
-        eyes = t.column("eye").to_pylist()
-        sizes = np.array([-1 if e is None else len(e) for e in eyes])
-        dim = int(np.bincount(sizes[sizes > 0]).argmax()) if (sizes > 0).any() else 0
+        has = t.column("eye").is_valid().to_numpy()
         e = np.zeros((len(ids), max(dim, 1)))
-        has = sizes == dim if dim else np.zeros(len(ids), bool)
-        for i in np.flatnonzero(has):
-            v = np.asarray(eyes[i], dtype=np.float64)
-            e[i] = v / np.linalg.norm(v)
+        if has.any():
+            e[has] = _unit_rows(t.column("eye").filter(t.column("eye").is_valid()))
         out = []
         for at in range(0, len(left), 1024):
             l = left[at : at + 1024]
-            fs = np.clip(f[l] @ f[right].T, -1, 1)
-            if dim:
+            fs = similar(f[l], f[right])
+            if has[l].any() and has[right].any():
                 both = has[l][:, None] & has[right][None, :]
-                fs = np.where(both, wf * fs + we * np.clip(e[l] @ e[right].T, -1, 1), fs)
+                fs = np.where(both, wf * fs + we * similar(e[l], e[right]), fs)
             i, j = np.nonzero(1 - fs <= eps)
             d, i2, j2 = (1 - fs)[i, j], ids[l[i]], ids[right[j]]
             keep = i2 < j2 if same else np.ones(len(i2), bool)
@@ -116,11 +172,16 @@ def close_pairs(vectors: DataFrame, eps: float, full: str = "full", eye: str | N
         a, b, d = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"a": a, "b": b, "distance": np.clip(d, 0, 2)})
 
-    return placed.groupBy("p", "q", F.size("full").alias("dims")).applyInArrow(product, "a bigint, b bigint, distance double")
+    return placed.groupBy("scope", "p", "q", F.size("full").alias("dims")).applyInArrow(product, "a bigint, b bigint, distance double")
+
+
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.clip(x @ y.T, -1, 1)
 
 
 def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
-    x = np.array(column.to_pylist(), dtype=np.float64)
+    """Lists of one length as a matrix of unit rows."""
+    x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -214,3 +214,33 @@ def test_centroids_and_profiles(spark):
     p = {r.cluster_id: r for r in clu.profiles(df).collect()}
     assert np.allclose(p[0].centroid, [2**-0.5] * 2) and p[0].size == 2 and p[0].photos == 1 and p[0].eye_coverage == 0.5 and p[0].eye_centroid == [0.0, 1.0]
     assert p[1].centroid == [0.0, 0.0] and p[1].eye_centroid is None
+
+
+def test_components_of_many_edges_in_rounds(spark, monkeypatch):
+    from kithspark.operators import graph
+
+    monkeypatch.setattr(graph, "EDGES", 40)
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (400, 2))] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000, 2000 + i) for i in range(120)] + [(9, 9), (9000, 9000)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == union({x for e in edges for x in e}, edges)
+
+
+@pytest.mark.parametrize("block", [3, 4, 100])
+def test_one_eye_length_counts_for_the_whole_table(spark, block):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist(), rng.normal(size=3 if i % 5 < 3 else 4).tolist()) for i in range(15)]
+    df = spark.createDataFrame(rows, "id bigint, full array<float>, eye array<float>")
+    plain = [(i, f, e if len(e) == 3 else None) for i, f, e in rows]
+    want = {(a[0], b[0]) for k, a in enumerate(plain) for b in plain[k + 1 :] if distance(a, b) <= 0.9}
+    assert {(r.a, r.b) for r in close_pairs(df, 0.9, eye="eye", block=block).collect()} == want
+
+
+def test_pairs_within_a_scope_and_by_another_metric(spark):
+    rows = [(i, [1.0, i / 10], None if i == 5 else i % 2) for i in range(8)]
+    df = spark.createDataFrame(rows, "id bigint, full array<float>, lib int")
+    got = {(r.a, r.b) for r in close_pairs(df, 0.5, scope="lib", block=2).collect()}
+    assert got == {(a, b) for a in range(8) for b in range(a + 1, 8) if a % 2 == b % 2 and 5 not in (a, b)}
+    one = lambda x, y: 1 - np.abs(x[:, 1][:, None] - y[:, 1][None, :])
+    near = {(r.a, r.b) for r in close_pairs(df, 0.11, metric=one).where("a = 0").collect()}
+    assert near == {(0, 1)}
