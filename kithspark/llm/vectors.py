@@ -18,9 +18,14 @@ def usable(vector: str, dims: int = DIMS) -> Column:
 
 def matrix(column: pa.Array, dims: int = DIMS) -> np.ndarray:
     """The rows of a list or binary column as a float32 matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if pa.types.is_binary(column.type) and not column.null_count and len(column):
+        ends = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1, offset=4 * column.offset)
+        return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(-1, dims)
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
         return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dims)
-    flat = column.flatten() if isinstance(column, pa.Array) else column.combine_chunks().flatten()
+    flat = column.flatten()
     return np.ascontiguousarray(flat.to_numpy(zero_copy_only=False), dtype=np.float32).reshape(-1, dims)
 
 

@@ -116,9 +116,55 @@ def test_an_oversize_cell_is_linked_as_a_whole(monkeypatch):
 
 def test_information_criterion_and_regularised_covariance():
     rng = np.random.default_rng(1)
-    x = np.repeat(rng.normal(size=(4, 64)), 50, axis=0).astype(np.float32)
-    m = mix.fit(x, 200, x.mean(0), np.eye(64, 8, dtype=np.float32))
-    assert (m.var > 0).all() and np.isfinite(m.log_density(m.reduced(x))).all() and abs(m.weight.sum() - 1) < 1e-6
+    y = np.repeat(rng.normal(size=(4, 8)), 50, axis=0).astype(np.float32)
+    m = mix.fit(y, 200, 8.0)
+    assert (m.var > 0).all() and np.isfinite(m.log_density(y)).all() and abs(m.weight.sum() - 1) < 1e-6
+    spread = (rng.normal(size=(6, 8)) * 3).astype(np.float32)
+    y = (np.repeat(spread, 200, axis=0) + rng.normal(scale=0.05, size=(1200, 8))).astype(np.float32)
+    few, many = mix.fit(y, 1200, 2.0), mix.fit(y, 1200, 10.0)
+    assert len(few) <= 3 and len(many) >= 6  # the likelihood asks for more, the criterion has the last word
+    noise = rng.normal(size=(400, 8)).astype(np.float32)
+    assert len(mix.fit(noise, 400, 10.0)) == 6  # nothing to tell apart: the fewest of the candidates
+
+
+def test_components_divide_the_table(spark):
+    ids, x = faces(4000, 11)
+    df = spark.createDataFrame([(int(i), bytearray(v.tobytes())) for i, v in zip(ids, unit(x))], "id bigint, vec binary")
+    n, m = mix.fit_mixture(df)
+    assert n == len(ids) and len(m.fine) >= 2 and m.fine.mean.shape[1] == mix.REDUCED
+    best, value = m.weigh(m.reduced(unit(x)))
+    row, cell, own = mix._visits(best, value, m.margin)
+    assert len(row) <= mix.VISITS * n * 1.2 and set(row) == set(range(n))
+    assert np.bincount(own, minlength=len(m.fine)).max() < 0.6 * n
+
+
+def test_every_home_row_meets_every_visitor_once_components_are_dealt_out():
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(1000)[:200].astype(np.int64)
+    own = rng.integers(0, 3, 200)
+    row, cell = np.nonzero(rng.random((200, 3)) < 0.6)
+    extra = np.setdiff1d(np.arange(200) * 3 + own, row * 3 + cell)
+    row, cell = np.r_[row, extra // 3], np.r_[cell, extra % 3]
+    for homes, visitors in (([1, 1, 1], [1, 1, 1]), ([1, 3, 2], [4, 1, 3])):
+        r, c, h, v, home, first = mix.dealt(ids, row, cell, own, np.array(homes), np.array(visitors))
+        met = set()
+        for key in set(zip(c.tolist(), h.tolist(), v.tolist())):
+            here = (c == key[0]) & (h == key[1]) & (v == key[2])
+            assert len(set(r[here])) == here.sum()
+            met |= {(key[0], a, b) for a in r[here & home] for b in r[here]}
+        assert met == {(k, a, b) for k in range(3) for a in np.flatnonzero(own == k) for b in row[cell == k]}
+        assert sorted(r[first]) == list(range(200))
+
+
+def test_groups_are_the_same_with_large_components_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mix, "HOMES", 40)
+    monkeypatch.setattr(mix, "VISITORS", 90)
+    ids, x = faces(900, 12, hot=300)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], SCHEMA)
+    groups, density = mix.linked_groups(df, 0.8)
+    got, want = {r.id: r.group_id for r in groups.collect()}, true_groups(ids, x, 0.8)
+    assert sum(got.get(k) == v for k, v in want.items()) >= 0.995 * len(want) and not set(got) - set(want)
+    assert density.count() == len(ids) == density.select("id").distinct().count()
 
 
 def true_best(ids, x, k, least):
