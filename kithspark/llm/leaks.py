@@ -1,11 +1,14 @@
 """Test items whose passages occur in a corpus, also with words replaced.
 
-Items are cut into n-grams of words, of which rare ones serve as seeds: as many
-as it takes for every run of six words of an item to hold one. A document that
-holds a seed is aligned with the item around it by the method of Smith and
+Words are numbers, hashes of their plain form, and five of them in a row make a
+gram. One scan of the corpus finds the grams that the items have, of however many
+items: a bitmap of bounded size, sent to the tasks, lets through what may be one.
+How often a gram occurs in the corpus and among the items says how rare it is,
+and of each item the rarest grams serve as seeds: as many as it takes for every
+run of six words to hold one. Seeds are joined with the grams of the corpus, and
+a document is aligned with an item around its seeds by the method of Smith and
 Waterman in a band; the aligned item words are searched for a long enough run
-with few enough errors. The seeds and items are sent to every task, so no
-document moves; a larger set of items is taken in blocks.
+with few enough errors. Only documents that hold a gram of an item move.
 """
 
 from __future__ import annotations
@@ -13,18 +16,25 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kithspark.llm.common import spread
 from kithspark.llm.lookalike import invisible
+from kithspark.session import BROADCAST_ROWS, Scratch
 
-#: Words of a seed; items sent to the tasks at once; half the width of the alignment's band.
-SEED, BLOCK, BAND = 5, 20_000, 8
+#: Words of a seed; half the width of the alignment's band; words that a task remembers.
+SEED, BAND, REMEMBERED = 5, 8, 500_000
+#: Bits of the bitmap for each gram of the items, and at most in all: eight megabytes. Grams that are sent along in full besides.
+BITS, MOST_BITS, IN_FULL = 64, 1 << 26, 1_000_000
+#: Words of all items together that are sent to every task that aligns; more are joined.
+ITEM_WORDS = 4_000_000
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -2
 
@@ -38,51 +48,98 @@ _WORD = re.compile(r"[^\W_]+")
 _OTHER = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"})
 
 
+class _Fold(dict):
+    """For each character what it counts as: without case, accents and width, white space kept, nothing for what isn't seen."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        if c.isspace():
+            out = c if c in "\n\r" else " "
+        elif invisible(c):
+            out = ""
+        else:
+            s = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", c).casefold().translate(_OTHER))
+            out = "".join(x for x in s if not unicodedata.combining(x))
+        self[point] = out
+        return out
+
+
+_FOLD = _Fold()
+_DIVIDED = re.compile(r"(?<=[^\W\d_])-[ \t]*[\r\n]+[ \t]*(?=[^\W\d_])")
+_APOSTROPHE = re.compile(r"(?<=[^\W\d_])['’`´ʼ](?=[^\W\d_])")
+
+
+def _folded(text: str) -> str:
+    if "<" in text or "&" in text or "](" in text:
+        text = _LINK.sub(" ", _TAG.sub(" ", _INLINE.sub("", html.unescape(text) if "&" in text else text)))
+    s = text.translate(_FOLD)
+    if "-" in s and ("\n" in s or "\r" in s):
+        s = _DIVIDED.sub("", s)  # words divided at a line's end
+    return _APOSTROPHE.sub("", s)
+
+
 def plain_words(text: str) -> list[list[str]]:
     """The words of a text between spaces, each as its parts of letters and digits; nothing of looks is kept."""
-    if not text:
+    return [p for w in _folded(text).split() if (p := _WORD.findall(w))] if text else []
+
+
+def number(part: str) -> int:
+    """A word's part as a number of 64 bits."""
+    return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+class Numbers(dict):
+    """For each word between spaces the numbers of its parts; the memory is emptied when it is full."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        got = self[word] = tuple(map(number, _WORD.findall(word)))
+        return got
+
+    def of(self, text: str | None) -> list[int]:
+        out: list[int] = []
+        if text:
+            for w in _folded(text).split():
+                out += self[w]
+        return out
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def grams(numbers: np.ndarray) -> np.ndarray:
+    """The hash of every SEED numbers in a row."""
+    n = len(numbers) - SEED + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    x = numbers.astype(np.int64).view(np.uint64)
+    h = np.zeros(n, np.uint64)
+    for k in range(SEED):
+        h = (h + x[k : k + n]) * _MIX[k]
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def seeds_of(often: list[int]) -> list[int]:
+    """Places of the seeds among grams that occur ``often``: of each two neighbours one, and as rare ones as can be."""
+    if not often:
         return []
-    s = _LINK.sub(" ", _TAG.sub(" ", _INLINE.sub("", html.unescape(text) if "&" in text else text))) if "<" in text or "&" in text or "](" in text else text
-    if not s.isascii():
-        s = "".join(" " if c.isspace() else c for c in s if c.isspace() or not invisible(c))
-        s = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", s).casefold().translate(_OTHER))
-        s = "".join(c for c in s if not unicodedata.combining(c))
-    else:
-        s = "".join(c for c in s if c >= " " or c in "\t\n\r\x0b\x0c").lower()
-    s = re.sub(r"(?<=[^\W\d_])-[ \t]*[\r\n]+[ \t]*(?=[^\W\d_])", "", s)  # words divided at a line's end
-    s = re.sub(r"(?<=[^\W\d_])['’`´ʼ](?=[^\W\d_])", "", s)
-    return [p for w in s.split() if (p := _WORD.findall(w))]
-
-
-@dataclass
-class Items:
-    """A block of test items and the index of their seeds."""
-
-    token: dict[int, list[str]] = field(default_factory=dict)
-    word: dict[int, list[int]] = field(default_factory=dict)  # of each token, the word it is part of
-    seeds: dict[tuple[str, ...], list[tuple[int, int]]] = field(default_factory=dict)
-
-    @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Items:
-        self = cls()
-        for key, text in rows:
-            words = plain_words(text)
-            self.token[key] = [t for w in words for t in w]
-            self.word[key] = [i for i, w in enumerate(words) for _ in w]
-        often = Counter(g for t in self.token.values() for g in {tuple(t[k : k + SEED]) for k in range(len(t) - SEED + 1)})
-        seeds = defaultdict(list)
-        for key, t in self.token.items():
-            each = [tuple(t[k : k + SEED]) for k in range(len(t) - SEED + 1)]
-            chosen = {k for k, g in enumerate(each) if often[g] == 1}
-            for k in range(len(each) - 1):  # a run of SEED + 1 words without a rare seed keeps the rarer of its two
-                if k not in chosen and k + 1 not in chosen:
-                    chosen.add(k if often[each[k]] < often[each[k + 1]] else k + 1)
-            if len(each) == 1:
-                chosen.add(0)
-            for k in chosen:
-                seeds[each[k]].append((key, k))
-        self.seeds = dict(seeds)
-        return self
+    # Least sum of how often they occur, over all ways to take one of each two neighbours; of equal ones the first found.
+    take, leave, steps = often[0], 0, []
+    for v in often[1:]:
+        steps.append(take <= leave)
+        take, leave = min(take, leave) + v, take
+    chosen, k = [], len(often) - 1
+    taken = take <= leave or len(often) == 1
+    while k >= 0:
+        if taken:
+            chosen.append(k)
+            taken = steps[k - 1] if k else False
+        else:
+            taken = True
+        k -= 1
+    return chosen[::-1]
 
 
 def align(a: list[str], b: list[str], low: int, high: int) -> list[tuple[int, int]]:
@@ -174,34 +231,88 @@ def extended(words: list[int], a: list[str], b: list[str], pairs: list[tuple[int
     return before[::-1] + pairs + after
 
 
-def leaks_in(text: str, items: Items, least: int, per: int) -> list[tuple[int, int, int]]:
-    """(item, words, errors) of the items with a run of at least ``least`` words in the text."""
-    token = [t for w in plain_words(text) for t in w]
-    get = items.seeds.get
-    hits: dict[int, set[int]] = {}
-    for at, g in enumerate(zip(*(token[k:] for k in range(SEED)))):
-        for key, k in get(g, ()):
-            hits.setdefault(key, set()).add(at - k)
-    found = []
-    for key, diagonals in sorted(hits.items()):
-        best, a = (0, 0), items.token[key]
-        group: list[int] = []
-        for d in [*sorted(diagonals), None]:
-            if group and (d is None or d - group[-1] > BAND):
-                low, high = group[0] - BAND, group[-1] + BAND
-                start = max(0, low)  # only the part of the text that these diagonals reach
-                part = token[start : max(0, high + len(a) + 1)]
-                word, pairs = items.word[key], align(a, part, low - start, high - start)
-                run = longest_run(word, a, part, pairs, per)
-                if run[0] < least <= 2 * len(pairs):
-                    run = max(run, longest_run(word, a, part, extended(word, a, part, pairs), per, True))
-                best = max(best, run)
-                group = []
-            if d is not None:
-                group.append(d)
-        if best[0] >= least:
-            found.append((key, *best))
-    return found
+def best_run(token: list[int], a: list[int], word: list[int], diagonals: list[int], least: int, per: int) -> tuple[int, int]:
+    """(words, errors) of the longest run of the item ``a`` in a text's ``token``, around the diagonals of its seeds."""
+    best, group = (0, 0), []
+    for d in [*sorted(diagonals), None]:
+        if group and (d is None or d - group[-1] > BAND):
+            low, high = group[0] - BAND, group[-1] + BAND
+            start = max(0, low)  # only the part of the text that these diagonals reach
+            part = token[start : max(0, high + len(a) + 1)]
+            pairs = align(a, part, low - start, high - start)
+            run = longest_run(word, a, part, pairs, per)
+            if run[0] < least <= 2 * len(pairs):
+                run = max(run, longest_run(word, a, part, extended(word, a, part, pairs), per, True))
+            best = max(best, run)
+            group = []
+        if d is not None:
+            group.append(d)
+    return best
+
+
+def item_rows(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(i, item, token, word, gram) of every item with at least SEED words; one that is stored with several texts has a row for each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [plain_words(t) for t in b.t]
+            token = [[number(part) for w in x for part in w] for x in words]
+            out = pd.DataFrame({"i": b.i, "item": b.k, "token": token, "word": [[n for n, w in enumerate(x) for _ in w] for x in words], "gram": [grams(np.array(t, np.int64)) for t in token]})
+            yield out[out.gram.str.len() > 0]
+
+    held = items.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").distinct()
+    return held.withColumn("i", F.xxhash64("k", "t")).mapInPandas(run, "i bigint, item bigint, token array<bigint>, word array<int>, gram array<bigint>")
+
+
+def _bitmap(gram: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(shift, bitmap) of the distinct ``n`` grams; its size is bounded by MOST_BITS."""
+    bits = min(MOST_BITS, 1 << max(16, (n * BITS).bit_length()))
+    shift = 64 - (bits.bit_length() - 1)
+    place = gram.select(F.shiftrightunsigned("g", shift).alias("p"))
+    one = place.select(F.expr("cast(p div 8 as int) as at"), F.expr("shiftleft(1, cast(p % 8 as int)) as bit"))
+    byte = one.groupBy("at").agg(F.bit_or("bit").cast("smallint").alias("byte")).toArrow()  # at most MOST_BITS / 8 rows
+    out = np.zeros(bits // 8, np.uint8)
+    out[byte.column("at").to_numpy()] = byte.column("byte").to_numpy().astype(np.uint8)
+    return shift, out
+
+
+def corpus_grams(rows: DataFrame, gram: DataFrame) -> DataFrame:
+    """(k, token, at, g) of every row of (k, t) that holds grams of the items (g): its words as numbers, and the grams' places."""
+    n = gram.count()
+    context = rows.sparkSession.sparkContext
+    shift, bitmap = _bitmap(gram, n)
+    full = np.sort(gram.toArrow().column(0).to_numpy()) if n <= IN_FULL else None
+    shared = context.broadcast((np.uint64(shift), bitmap, full))  # eight megabytes each at most
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, (shift, bitmap, full) = Numbers(), shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                b = batch.slice(start, 500)
+                each = [numbers.of(t) for t in b.column(1).to_pylist()]
+                ends = np.cumsum([len(x) for x in each])
+                flat = np.fromiter((n for x in each for n in x), np.int64, count=int(ends[-1]))
+                g = grams(flat)
+                bit = g.view(np.uint64) >> shift
+                at = np.flatnonzero(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                doc = np.searchsorted(ends, at, side="right")
+                inside = at + SEED <= ends[doc]
+                at, doc = at[inside], doc[inside]
+                if full is not None and len(at):
+                    sure = full[np.minimum(np.searchsorted(full, g[at]), len(full) - 1)] == g[at]
+                    at, doc = at[sure], doc[sure]
+                if not len(at):
+                    continue
+                held, first = np.unique(doc, return_index=True)
+                cuts = pa.array(np.r_[first, len(at)].astype(np.int32))
+                sizes = np.array([len(each[d]) for d in held])
+                begin = ends[held] - sizes
+                token = np.concatenate([flat[x : x + y] for x, y in zip(begin, sizes)])
+                place = at - np.repeat(begin, np.diff(np.r_[first, len(at)]))
+                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(token)), pa.ListArray.from_arrays(cuts, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(g[at]))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(held)), *lists], ["k", "token", "at", "g"])
+
+    return rows.mapInArrow(scan, "k bigint, token array<bigint>, at array<int>, g array<bigint>")
 
 
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, least: int = 18, per: int = 8) -> DataFrame:
@@ -212,23 +323,39 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
     item's: what lies beyond can't be told from other text. Case, accents, punctuation,
     spacing, invisible characters and markup don't matter. Null and empty texts
     on either side give no row; items shorter than ``least`` words can't be found;
+    of an item with several texts each is looked for, and the longest run counts;
     repeated documents are each reported. Lossless for ``per`` >= 8 and ``least``
-    >= 18: a run of six words stays whole then, and each holds a seed.
+    >= 18: a run of six words stays whole then, and each holds a seed; up to BAND
+    words more or fewer within a passage are bridged.
     """
+    scratch = Scratch(docs.sparkSession, "leaks")
     rows = spread(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and t <> ''"))
-    held = items.select(F.col(item).cast("bigint").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null").dropDuplicates(["k"])
-    n = held.count()
-    blocks = max(1, -(-n // BLOCK))  # of no items, one empty block
-    spark, out = docs.sparkSession, None
-    for b in range(blocks):
-        part = held.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect()  # about BLOCK items
-        shared = spark.sparkContext.broadcast(Items.of([(r.k, r.t) for r in part]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                got = [(k, *f) for k, t in zip(batch.k, batch.t) for f in leaks_in(t, shared.value, least, per)]
-                yield pd.DataFrame(got, columns=["k", "item", "words", "errors"])
-
-        found = rows.mapInPandas(run, "k bigint, item bigint, words int, errors int")
-        out = found if out is None else out.unionByName(found)
-    return out.select(F.col("k").alias(key), F.col("item").alias(item if item != key else f"{item}_item"), "words", "errors")
+    held = scratch.keep(item_rows(items, item, item_text))
+    each = held.select("i", F.posexplode("gram").alias("at", "g"))
+    # Written once, so a number that a row gets there stays the same.
+    found = scratch.keep(corpus_grams(rows, each.select("g").distinct()).withColumn("d", F.monotonically_increasing_id()))
+    hit = found.select("d", F.explode(F.arrays_zip("at", "g")).alias("x")).select("d", "x.at", "x.g")
+    often = hit.select("g").unionByName(each.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rated = each.join(often, "g").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("at", "g", "n"))).alias("all"))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [(i, x["at"], x["g"]) for i, every in zip(b.i, b["all"]) for x in (every[k] for k in seeds_of([int(e["n"]) for e in every]))]
+            yield pd.DataFrame(got, columns=["i", "start", "g"]).astype({"i": "int64", "start": "int32", "g": "int64"})
+
+    seed = scratch.keep(rated.mapInPandas(choose, "i bigint, start int, g bigint"))
+    few = F.broadcast if seed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+    near = hit.join(few(seed), "g").groupBy("d", "i").agg(F.collect_set((F.col("at") - F.col("start")).cast("int")).alias("diagonals"))
+    size = held.agg(F.coalesce(F.sum(F.size("token")), F.lit(0)).alias("n")).first().n
+    few = F.broadcast if size <= ITEM_WORDS else (lambda df: df)
+    pairs = near.join(found.select("d", "k", F.col("token").alias("text")), "d").join(few(held.select("i", "item", "token", "word")), "i")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [(d, k, i, *best_run(t.tolist(), a.tolist(), w.tolist(), g.tolist(), least, per)) for d, k, i, t, a, w, g in zip(b.d, b.k, b.item, b.text, b.token, b.word, b.diagonals)]
+            out = pd.DataFrame(got, columns=["d", "k", "item", "words", "errors"])
+            yield out[out.words >= least]
+
+    judged = pairs.select("d", "k", "item", "text", "token", "word", "diagonals").mapInPandas(judge, "d bigint, k bigint, item bigint, words int, errors int")
+    best = judged.groupBy("d", "k", "item").agg(F.max(F.struct("words", (-F.col("errors")).alias("e"))).alias("m"))
+    return best.select(F.col("k").alias(key), F.col("item").alias(item if item != key else f"{item}_item"), F.col("m.words").alias("words"), (-F.col("m.e")).alias("errors"))

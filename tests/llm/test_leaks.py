@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from kithspark.llm.leaks import Items, align, find_leaks, leaks_in, plain_words
+from kithspark.llm.leaks import Numbers, align, best_run, find_leaks, grams, number, plain_words, seeds_of
 
 R = random.Random(6)
 WORDS = ["".join(R.choice("abcdefghijklmnop") for _ in range(R.randint(2, 8))) for _ in range(400)]
@@ -17,8 +18,19 @@ def text(n):
     return " ".join(R.choice(WORDS) for _ in range(n))
 
 
+def leaks_in(passage, item, least=18, per=8):
+    """Whether the item leaked into the passage, with every second gram as a seed."""
+    words = plain_words(item)
+    a, where = [number(p) for w in words for p in w], [n for n, w in enumerate(words) for _ in w]
+    token, own = Numbers().of(passage), grams(np.array(a, np.int64))
+    seeds = seeds_of([1] * len(own))
+    held = grams(np.array(token, np.int64))
+    diagonals = {int(at) - k for k in seeds for at in np.flatnonzero(held == own[k])}
+    return best_run(token, a, where, list(diagonals), least, per)[0] >= least
+
+
 def leak(words):
-    return bool(leaks_in(f"{text(30)} {words} {text(30)}", Items.of([(1, ITEM), (2, text(50))]), 18, 8))
+    return leaks_in(f"{text(30)} {words} {text(30)}", ITEM)
 
 
 def replaced(words, every):
@@ -53,14 +65,23 @@ def test_not_found(change):
     assert not leak(change(ITEM))
 
 
-def test_every_run_of_six_words_holds_a_seed():
-    rows = [(i, " ".join(R.choice(WORDS[:6]) for _ in range(60))) for i in range(20)] + [(99, "a b c d e"), (98, ""), (97, "a a a a a a a a")]
-    items = Items.of(rows)
-    held = {(key, k) for at in items.seeds.values() for key, k in at}
-    for key, t in items.token.items():
-        for k in range(len(t) - 5):
-            assert (key, k) in held or (key, k + 1) in held
-    assert (99, 0) in held
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 8, 41])
+def test_every_run_of_six_words_holds_a_seed_and_the_rarest_serve(n):
+    for _ in range(20):
+        often = [R.randint(1, 9) for _ in range(n)]
+        chosen = seeds_of(often)
+        assert all(k in chosen or k + 1 in chosen for k in range(n - 1)) and sorted(set(chosen)) == chosen
+        if 0 < n <= 8:
+            ways = [w for w in range(1, 1 << n) if all(w >> k & 3 for k in range(n - 1))]
+            assert sum(often[k] for k in chosen) == min(sum(often[k] for k in range(n) if w >> k & 1) for w in ways)
+    assert seeds_of([5]) == [0]
+
+
+def test_words_and_grams_as_numbers():
+    numbers = Numbers()
+    assert numbers.of("A-b  CÉ, ‘d’") == [number(x) for x in ("a", "b", "ce", "d")] and numbers.of(None) == numbers.of("") == []
+    x = np.arange(9) * 7 - 20
+    assert len(grams(x)) == 5 and grams(x)[2] == grams(x[2:7])[0] and len(grams(x[:4])) == 0 and len(set(grams(x).tolist())) == 5
 
 
 def test_alignment_bridges_a_gap():
@@ -74,17 +95,19 @@ def test_plain_words():
     assert plain_words("divi-\nded") == [["divided"]] and plain_words("") == [] and plain_words("— …") == []
 
 
-def test_frames_in_one_block_or_many(spark, monkeypatch):
+@pytest.mark.parametrize("change", [{}, {"IN_FULL": 0, "MOST_BITS": 1 << 16}, {"BROADCAST_ROWS": 0, "ITEM_WORDS": 0}])
+def test_frames_with_what_is_sent_and_what_is_joined(spark, monkeypatch, change):
     from kithspark.llm import leaks
 
     docs = [(i, text(40)) for i in range(30)] + [(100, f"{text(9)} {ITEM}"), (100, f"{text(9)} {ITEM}"), (101, None), (102, ""), (None, ITEM), (103, text(5000) + " " + " ".join(ITEM.split()[3:25]))]
     d = spark.createDataFrame([(*x, 5) for x in docs], "id bigint, t string, words int")
-    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, text(60)), (3, None), (None, ITEM), (4, "")], "id bigint, t string")
-    want = sorted([(100, 1), (100, 1), (103, 1)])
-    for block in (20_000, 1):
-        monkeypatch.setattr(leaks, "BLOCK", block)
-        got = find_leaks(d, "id", "t", items, "id", "t")
-        assert sorted((r.id, r.id_item) for r in got.collect()) == want
+    other = text(60)
+    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, text(60)), (3, None), (None, ITEM), (4, ""), (1, other)], "id bigint, t string")
+    d = d.unionByName(spark.createDataFrame([(104, f"so {other} then {ITEM}", 1)], d.schema))
+    for name, value in change.items():
+        monkeypatch.setattr(leaks, name, value)
+    got = find_leaks(d, "id", "t", items, "id", "t")
+    assert sorted((r.id, r.id_item) for r in got.collect()) == [(100, 1), (100, 1), (103, 1), (104, 1)]
     assert find_leaks(d.limit(0), "id", "t", items, "id", "t").count() == find_leaks(d, "id", "t", items.limit(0), "id", "t").count() == 0
 
 
@@ -101,5 +124,5 @@ def test_markup_of_any_length():
 @pytest.mark.parametrize("wrong, want", [((1, 2), True), ((15, 16), True), ((1, 16), True), ((0,), False), ((17,), False), ((1, 2, 9), False), ((14, 15, 16), False)])
 def test_replaced_words_near_the_ends(wrong, want):
     words = " ".join("zzz" if i in wrong else w for i, w in enumerate(ITEM.split()[11:29]))
-    assert bool(leaks_in(words, Items.of([(1, ITEM), (2, text(50))]), 18, 8)) == want
-    assert bool(leaks_in(f"qqq {words} qqq", Items.of([(1, ITEM)]), 18, 8)) == want
+    assert leaks_in(words, ITEM) == want
+    assert leaks_in(f"qqq {words} qqq", ITEM) == want
