@@ -2,10 +2,12 @@
 
 A vector of unit length is turned by a pseudo-rotation (three rounds of random
 signs and a fast Hadamard transform) and hashed to the signed axis it is nearest
-to. In each of several tables it is put into the buckets of its nearest and next
-nearest axes, so that close vectors on either side of a border still meet. In a
-bucket the cosines are computed exactly and each vector keeps its best; the best
-of all its buckets are its neighbours.
+to; a second hash, of as many axes as the table is large, divides the buckets
+further, so they stay of one size. A vector is put into its PROBES likeliest
+buckets, so that close vectors on either side of a border still meet; these are
+equally many at every size of the table, and so is what a vector costs to move.
+In a bucket the cosines are computed exactly and each vector keeps its best; the
+best of all its buckets are its neighbours.
 """
 
 from __future__ import annotations
@@ -21,8 +23,12 @@ from kithspark.llm.common import spread
 from kithspark.llm.vectors import DIMS, cosines, matrix, packed, unit
 from kithspark.session import Scratch
 
-#: Tables, and buckets of each that a vector is put into while the hash has one axis; vectors that a bucket should hold at most.
-TABLES, PROBES, BUCKET = 2, 2, 100_000
+#: Tables, buckets of each that a vector is put into, and vectors that a bucket should hold at most on average.
+TABLES, PROBES, BUCKET = 1, 4, 200_000
+#: Vectors of a bucket from which on its task hashes them once more, at no cost of moving them; then the buckets for each, and vectors of one.
+INNER, INNER_PROBES, INNER_BUCKET = 24_000, 12, 1_500
+#: Pairs found in a task from which on they are merged.
+PAIRS = 3_000_000
 #: Vectors from which on a bucket is divided; one in LOOKED_AT is kept to find such buckets, at most about ENOUGH are looked at.
 HOT, LOOKED_AT, ENOUGH = 150_000, 64, 40_000
 #: Entries of a matrix product.
@@ -60,15 +66,14 @@ def nearest_axes(y: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
     return top * 2 + (np.take_along_axis(y, top, 1) > 0), value
 
 
-def buckets(x: np.ndarray, table: int, axes: int, probes: int) -> np.ndarray:
-    """The ``probes`` likeliest buckets of each row in ``table``, a hash of ``axes`` rotations."""
-    keys, cost = None, None
-    for k in range(axes):
-        near, value = nearest_axes(rotate(x, 1000 * table + k), probes)
-        lost = value[:, :1] - value
-        if keys is None:
-            keys, cost = near.astype(np.int64), lost
-            continue
+def buckets(x: np.ndarray, table: int, axes: tuple[int, ...], probes: int) -> np.ndarray:
+    """The ``probes`` likeliest buckets of each row in ``table``, by one rotation for each of ``axes``, of which so many axes count."""
+    keys, cost = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.float32)
+    for k, d in enumerate(axes):
+        near, value = nearest_axes(rotate(x, 1000 * table + k)[:, :d], min(probes, d))
+        lost = (value[:, :1] - value) ** 2
+        if d <= probes:  # the opposite ends of the axes are within reach too
+            near, lost = np.concatenate((near, near ^ 1), axis=1), np.concatenate((lost, (value[:, :1] + value) ** 2), axis=1)
         keys = (keys[:, :, None] * (2 * x.shape[1]) + near[:, None, :]).reshape(len(x), -1)
         cost = (cost[:, :, None] + lost[:, None, :]).reshape(len(x), -1)
         best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
@@ -121,21 +126,45 @@ def _among(ids: np.ndarray, x: np.ndarray, k: int, least: float) -> Iterator[tup
 
 
 def _merged_best(ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each i of all that was found, best first."""
+    """The k best of each i of all that was found, best first; a pair that was found twice counts once."""
     i, j, c = (np.concatenate(p) for p in zip(*found))
     order = np.lexsort((ids[j], -c, i))
     i, j, c = i[order], j[order], c[order]
+    once = np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])] if len(i) else np.zeros(0, bool)
+    i, j, c = i[once], j[once], c[once]
     new = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
     place = np.arange(len(i)) - np.repeat(new, np.diff(np.r_[new, len(i)]))
     return i[place < k], j[place < k], c[place < k]
 
 
 def search_bucket(ids: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, cosine): the k best partners j of each i within a bucket, best first; exact, however large the bucket is."""
-    found = list(_among(ids, x, k, least))
+    """(i, j, cosine): the k best partners j of each i within a bucket, best first; exact up to INNER vectors.
+
+    Beyond, the vectors are hashed once more, into INNER_PROBES buckets each by a
+    rotation that the outer hash doesn't use, and these are searched exactly.
+    """
+    if len(ids) <= INNER:
+        found = list(_among(ids, x, k, least))
+    else:
+        found, held = [], 0
+        for rows in _inner(x):
+            found += [(rows[i], rows[j], c) for i, j, c in _among(ids[rows], x[rows], k, least)]
+            held += sum(len(f[0]) for f in found[-1:])
+            if held > PAIRS:
+                found = [_merged_best(ids, found, k)]
+                held = 0
     return _merged_best(ids, found, k) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
+def _inner(x: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each inner bucket."""
+    keys = buckets(x, 40, _axes(len(x), INNER_PROBES, INNER_BUCKET), INNER_PROBES)
+    order = np.argsort(keys.ravel(), kind="stable")
+    sizes = np.unique(keys.ravel(), return_counts=True)[1]
+    for part in np.split(order // keys.shape[1], np.cumsum(sizes)[:-1]):
+        yield part
+
+
 def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
     """(signal, id, partners array<struct<cosine, id>>): the k most similar others of every vector.
 
@@ -145,11 +174,11 @@ def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
     Partners have a cosine of at least ``least`` and come best first, ties by the
     smaller id; a vector without any isn't given. Equal vectors are each other's
     partners; of a vector that more than k + 1 ids share, the smallest k + 1 are
-    searched and stand for the others. The number of axes in a hash follows the
-    size of the table, and probes with it; a bucket that a sample shows to hold
-    far more vectors than others is divided by a further hash of what its vectors
-    don't have in common; no bucket is cut. An empty table gives
-    no row.
+    searched and stand for the others. The number of buckets follows the size of
+    the table, that of the buckets a vector is put into doesn't; a bucket that a
+    sample shows to hold far more vectors than others is divided by a further hash
+    of what its vectors don't have in common; no bucket is cut. An empty table
+    gives no row.
     """
     scratch = Scratch(vectors.sparkSession, "neighbours")
 
@@ -178,9 +207,9 @@ def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
                 for s in sorted(set(signal)):
                     mine = np.flatnonzero(signal == s)
                     part = b.take(pa.array(mine))
-                    x, (axes, probes) = matrix(part.column(2)), plan[s]
+                    x = matrix(part.column(2))
                     for t in range(TABLES):
-                        row, key = _placed(x, t, axes, probes, hot.value.get(s, {}))
+                        row, key = _placed(x, t, plan[s], PROBES, hot.value.get(s, {}))
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(key), part.column(1).take(pa.array(row)), packed(x[row])], ["signal", "bucket", "id", "vec"])
 
     def search(t: pa.Table) -> pa.Table:
@@ -198,15 +227,15 @@ def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
     return best.unionByName(_for_copies(best, extra, k))
 
 
-def _axes(n: int) -> tuple[int, int]:
-    """Axes of a hash so that its buckets hold BUCKET vectors at most on average, and probes for as many axes."""
-    axes = 1
-    while n * PROBES * axes / (2 * DIMS) ** axes > BUCKET:
-        axes += 1
-    return axes, PROBES if axes == 1 else 3 * axes
+def _axes(n: int, probes: int = PROBES, most: int = BUCKET) -> tuple[int, ...]:
+    """Axes of each rotation of a hash, the fewest so that its buckets hold ``most`` vectors at most on average."""
+    want, axes = n * probes / most, (DIMS,)
+    while (have := math.prod(2 * d for d in axes)) < want:
+        axes = (*axes, min(DIMS, max(1, math.ceil(want / have / 2))))
+    return axes
 
 
-def _placed(x: np.ndarray, table: int, axes: int, probes: int, hot: dict[int, tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _placed(x: np.ndarray, table: int, axes: tuple[int, ...], probes: int, hot: dict[int, tuple[np.ndarray, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) for every bucket of a table that a row is put into.
 
     A bucket in ``hot`` is divided: what its vectors have in common is taken from
@@ -220,20 +249,20 @@ def _placed(x: np.ndarray, table: int, axes: int, probes: int, hot: dict[int, tu
             continue
         rest = x[row[inside]] - mean
         size = np.linalg.norm(rest, axis=1, keepdims=True)
-        sub = buckets(rest / np.maximum(size, 1e-12), 70 + table, more, 3 * more)
+        sub = buckets(rest / np.maximum(size, 1e-12), 70 + table, more, 3)
         outside = np.flatnonzero(key != b)
-        divided = -1 - (b * (2 * DIMS) ** more + sub)
+        divided = -1 - (b * (2 * DIMS) ** len(more) + sub)
         row = np.r_[row[outside], np.repeat(row[inside], sub.shape[1])]
         key = np.r_[key[outside], divided.ravel()]
     return row, key
 
 
-def _hot_buckets(known: DataFrame, sizes: dict[str, int], plan: dict[str, tuple[int, int]]) -> dict[str, dict[int, tuple[np.ndarray, int]]]:
+def _hot_buckets(known: DataFrame, sizes: dict[str, int], plan: dict[str, tuple[int, ...]]) -> dict[str, dict[int, tuple[np.ndarray, tuple[int, ...]]]]:
     """For each signal the buckets with more than HOT vectors, by the vectors in ``looked``: their mean and the axes to divide them by.
 
     There is at most one for each HOT placings, so the result is small.
     """
-    out: dict[str, dict[int, tuple[np.ndarray, int]]] = {}
+    out: dict[str, dict[int, tuple[np.ndarray, tuple[int, ...]]]] = {}
     for s, n in sizes.items():
         if n <= HOT:
             continue  # no bucket can hold so many
@@ -242,15 +271,14 @@ def _hot_buckets(known: DataFrame, sizes: dict[str, int], plan: dict[str, tuple[
         if not rows.num_rows:
             continue
         x = matrix(rows.column("looked").combine_chunks())
-        axes, probes = plan[s]
         for t in range(TABLES):
-            keys = buckets(x, t, axes, probes) * TABLES + t
+            keys = buckets(x, t, plan[s], PROBES) * TABLES + t
             row = np.repeat(np.arange(len(x)), keys.shape[1])
             value, count = np.unique(keys.ravel(), return_counts=True)
             for b, c in zip(value.tolist(), count.tolist()):
                 about = c * n / len(x)
                 if about > HOT:
-                    out.setdefault(s, {})[b] = x[row[keys.ravel() == b]].mean(0), _axes(int(about))[0]
+                    out.setdefault(s, {})[b] = x[row[keys.ravel() == b]].mean(0), _axes(int(about))
     return out
 
 

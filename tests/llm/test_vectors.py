@@ -213,17 +213,17 @@ def test_search_in_a_large_bucket_is_exact(monkeypatch):
 
 def test_hot_buckets_are_divided(spark, monkeypatch):
     monkeypatch.setattr(nbr, "BUCKET", 60)
-    monkeypatch.setattr(nbr, "_axes", lambda n: (1, 2))
+    monkeypatch.setattr(nbr, "_axes", lambda n, *_: (64,))
     ids, x = faces(2000, 6, hot=800)
     df = spark.createDataFrame([("a", int(i), v.tolist()) for i, v in zip(ids, x)], "signal string, id bigint, vec array<float>")
     monkeypatch.setattr(nbr, "HOT", 180)
     monkeypatch.setattr(nbr, "LOOKED_AT", 1)
     looked = spark.createDataFrame([("a", int(i), bytearray(v.tobytes())) for i, v in zip(ids, unit(x))], "signal string, id bigint, looked binary")
-    hot = nbr._hot_buckets(looked, {"a": len(ids)}, {"a": (1, 2)})["a"]
+    hot = nbr._hot_buckets(looked, {"a": len(ids)}, {"a": (64,)})["a"]
     assert hot and all(m.shape == (64,) for m, _ in hot.values())
-    row, key = nbr._placed(unit(x), 0, 1, 2, hot)
+    row, key = nbr._placed(unit(x), 0, (64,), 4, hot)
     assert set(row) == set(range(len(x))) and (key < 0).any() and not set(key) & set(hot)
-    before = np.unique(nbr._placed(unit(x), 0, 1, 2, {})[1], return_counts=True)[1].max()
+    before = np.unique(nbr._placed(unit(x), 0, (64,), 4, {})[1], return_counts=True)[1].max()
     assert np.unique(key, return_counts=True)[1].max() < before
     want = {(i, j) for i, p in true_best(ids, x, 5, 0.8).items() for j in p}
     # Within the hot group all are about equally far, the hardest case there is.
@@ -246,7 +246,38 @@ def test_hadamard_keeps_lengths_and_hash_is_the_nearest_axis():
     assert np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1), rtol=1e-4)
     axis, _ = nbr.nearest_axes(y, 2)
     assert (axis[:, 0] // 2 == np.abs(y).argmax(1)).all()
-    assert [nbr._axes(n)[0] for n in (10, 10**6, 10**8, 10**10)] == [1, 1, 2, 3] and nbr._axes(10**8)[1] > nbr._axes(10)[1]
+    assert [nbr._axes(n) for n in (10, 10**6, 10**7, 10**8, 10**10)] == [(64,), (64,), (64, 1), (64, 8), (64, 64, 7)]
+
+
+@pytest.mark.parametrize("axes", [(64,), (64, 1), (64, 2), (64, 16), (64, 64, 3)])
+def test_a_vector_is_put_into_equally_many_buckets_at_every_size(axes):
+    x = unit(np.random.default_rng(0).normal(size=(500, 64)).astype(np.float32))
+    keys = nbr.buckets(x, 0, axes, nbr.PROBES)
+    assert keys.shape == (500, nbr.PROBES) and all(len(set(k)) == nbr.PROBES for k in keys.tolist())
+    own = nbr.buckets(x, 0, axes, 1)
+    assert (keys[:, 0] == own[:, 0]).all()
+
+
+@pytest.mark.parametrize("n", [10**6, 10**7, 4 * 10**7])
+def test_recall_with_the_buckets_of_larger_tables(spark, monkeypatch, n):
+    axes = nbr._axes(n)
+    monkeypatch.setattr(nbr, "_axes", lambda n, *_: axes)
+    ids, x = faces(2500, 14)
+    df = spark.createDataFrame([("a", int(i), v.tolist()) for i, v in zip(ids, x)], "signal string, id bigint, vec array<float>")
+    got, want = found(df), true_best(ids, x, 5, 0.8)
+    pairs = {(min(i, j), max(i, j)) for i, p in want.items() for j in p}
+    have = {(min(i, j), max(i, j)) for (_, i), p in got.items() for j in p}
+    assert len(pairs & have) >= 0.9 * len(pairs)
+
+
+def test_search_of_a_large_bucket_by_an_inner_hash(monkeypatch):
+    monkeypatch.setattr(nbr, "INNER", 500)
+    monkeypatch.setattr(nbr, "PAIRS", 900)
+    ids, x = faces(1500, 9)
+    i, j, c = nbr.search_bucket(ids.astype(np.int64), unit(x), 5, 0.8)
+    want = {(a, b) for a, p in true_best(ids, x, 5, 0.8).items() for b in p}
+    got = {(int(ids[a]), int(ids[b])) for a, b in zip(i, j)}
+    assert len(got & want) >= 0.99 * len(want) and len(got) == len(i) and (np.bincount(i) <= 5).all()
 
 
 def test_usable(spark):
