@@ -5,7 +5,9 @@ described by its hashed word n-grams and skip-grams. Logistic regression models
 are fitted to labelled sentences with the FTRL-proximal method: each coordinate
 has its own learning rate, and the L1 term keeps most weights at zero, so the
 models are small enough to send to every task. A text scores as its worst
-sentence.
+sentence. Texts are scored many at a time: words are numbers, the slots of all
+their n-grams and skip-grams come from a few array operations, and only those
+with a weight are assigned to the sentences that hold them.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ import html
 import math
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kithspark.llm.common import spread
@@ -29,6 +31,8 @@ from kithspark.llm.names import _PLAIN, _TO_LATIN, _is_cyrillic
 
 #: Slots of the hash; labelled rows that are used at most; words of a window in a long sentence, and its step.
 SLOTS, LABELLED, WINDOW, STEP = 1 << 20, 20_000, 10, 3
+#: Words that a task remembers; texts that are scored at once.
+REMEMBERED, TOGETHER = 300_000, 500
 #: Rates and penalties of the fit, and its rounds.
 ALPHA, BETA, L1, L2, ROUNDS = 0.15, 1.0, 0.12, 0.6, 12
 KINDS = ("abusive", "hateful", "sexual")
@@ -44,7 +48,6 @@ _KANA = re.compile(r"[぀-ヿ一-鿿]+")
 _EMOJI = re.compile(r"[☀-➿\U0001f000-\U0001faff]+")
 
 
-@lru_cache(maxsize=200_000)
 def plain_word(w: str) -> str:
     """A word without its disguise: plain lower-case letters, with ``*`` where one is masked."""
     s = w
@@ -65,58 +68,84 @@ def plain_word(w: str) -> str:
     return re.sub(r"([a-zа-я])\1{2,}", r"\1", s)
 
 
+class Pieces(dict):
+    """For each word as written what it comes to: (whether it is a letter by itself, plain word) of each of its parts."""
+
+    def __missing__(self, word: str) -> tuple[tuple[bool, str], ...]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        out: list[tuple[bool, str]] = []
+        for p in plain_word(word).replace("-", " ").replace("/", " ").replace("'", " ").replace("’", " ").split():
+            if len(p) == 1 and p.isalpha():
+                out.append((True, p))
+            elif _KANA.search(p):
+                out += [(False, k[i : i + 2]) for k in _KANA.findall(p) for i in range(max(1, len(k) - 1))]
+            elif w := ("#" if p[:1].isdigit() else re.sub(r"[^\w*]", "", p)):
+                out.append((False, w))
+        got = self[word] = tuple(out)
+        return got
+
+
+_PIECES = Pieces()
+
+
 def words_of(sentence: str) -> list[str]:
     """Plain words; letters set apart are put together; Japanese text as pairs of characters."""
     out: list[str] = []
     run: list[str] = []
     for w in sentence.split():
-        for p in plain_word(w).replace("-", " ").replace("/", " ").replace("'", " ").replace("’", " ").split():
-            if len(p) == 1 and p.isalpha():
+        for single, p in _PIECES[w]:
+            if single:
                 run.append(p)
                 continue
             if run:
                 out += ["".join(run)] if len(run) >= 3 else run
                 run = []
-            if _KANA.search(p):
-                for k in _KANA.findall(p):
-                    out += [k[i : i + 2] for i in range(max(1, len(k) - 1))]
-                continue
-            out.append("#" if p[:1].isdigit() else re.sub(r"[^\w*]", "", p))
+            out.append(p)
     if run:
         out += ["".join(run)] if len(run) >= 3 else run
-    return [w for w in out if w]
+    return out
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The sentences of a text as words, and the overlapping windows of long ones, as harmless words around a
-    harmful part would outweigh it; very long ones, which may lack stops, in windows only."""
-    out = []
+    """The sentences of a text as words."""
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", _INLINE.sub("", html.unescape(text)))
-    for s in _SPLIT.split(_EMOJI.sub(". ", text)):
-        words = words_of(s) if s else []
-        if len(words) <= 2 * WINDOW:
-            out.append(words)
-        if len(words) > WINDOW + STEP:
-            out += [words[i : i + WINDOW] for i in range(0, len(words) - WINDOW + STEP, STEP)]
-    return [w for w in out if w]
-
-
-def features(words: list[str]) -> set[int]:
-    """Slots of a sentence's words, pairs, triples, and pairs with one or two words skipped."""
-    h = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass")) % SLOTS
-    out = {h("1 " + w) for w in words}
-    n = len(words)
-    for i in range(n - 1):
-        out.add(h(f"2 {words[i]} {words[i + 1]}"))
-        if i + 2 < n:
-            out.add(h(f"3 {words[i]} {words[i + 1]} {words[i + 2]}"))
-            out.add(h(f"s {words[i]} {words[i + 2]}"))
-        if i + 3 < n:
-            out.add(h(f"s {words[i]} {words[i + 3]}"))
+    return [words for s in _SPLIT.split(_EMOJI.sub(". ", text)) if s and (words := words_of(s))]
+
+
+def windows(n: int) -> list[tuple[int, int]]:
+    """Parts, from and to, of a sentence of ``n`` words that are scored: the whole and overlapping windows of a long one, as
+    harmless words around a harmful part would outweigh it; of a very long one, which may lack stops, windows only."""
+    out = [(0, n)] if n <= 2 * WINDOW else []
+    if n > WINDOW + STEP:
+        out += [(i, min(i + WINDOW, n)) for i in range(0, n - WINDOW + STEP, STEP)]
     return out
 
 
+#: Words to each side that a feature is made of, from its first word on: words, pairs, triples, and pairs with one or two skipped.
+SHAPES = ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3))
+
+
+def slots(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(words that a feature spans, slot of the feature that begins at each word) for each of the SHAPES, of words as numbers."""
+    x = numbers.astype(np.int64).view(np.uint64)
+    for kind, shape in enumerate(SHAPES):
+        n = len(x) - shape[-1]
+        if n <= 0:
+            continue
+        h = np.full(n, kind + 1, np.uint64)
+        for k in shape:
+            h = (h ^ x[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(31)
+        yield shape[-1] + 1, (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - 20)).astype(np.int64)
+
+
+def features(numbers: list[int]) -> set[int]:
+    """Slots of all features of one sentence."""
+    return {int(i) for _, slot in slots(np.array(numbers, np.int64)) for i in slot}
+
+
 def ftrl(rows: list[tuple[set[int], int]], rounds: int = ROUNDS) -> dict[int, float]:
     """Weights by slot, the constant at -1; slots with a weight of zero are left out."""
     z: dict[int, float] = {}
@@ -160,39 +189,79 @@ class Model:
                 bad.setdefault(w, [0, 0])[label != "ok"] += 1
         self.bad = sorted(w for w, (ok, harm) in bad.items() if harm > 2 * ok and len(w) >= 4 and "*" not in w)
         self.swapped = {w[:i] + w[i + 1] + w[i] + w[i + 2 :]: w for w in self.bad if len(w) >= 5 for i in range(1, len(w) - 1)}
-        data = [(features(self.settled(w)), label) for w, label in rows]
+        self._numbers: dict[str, int] = {}
+        data = [(features(self.numbers(w)), label) for w, label in rows]
         self.harm = ftrl([(f, int(label != "ok")) for f, label in data])
         harmful = sum(label != "ok" for _, label in rows)
         odds = max(1, harmful) / max(1, len(rows) - harmful)
         self.harm[-1] = self.harm.get(-1, 0.0) + math.log(ASSUMED / (1 - ASSUMED)) - math.log(odds)
-        self.kind = {k: ftrl([(f, int(label == k)) for f, label in data]) for k in KINDS}
-        self._masks: dict[str, str] = {}
-
-    def settled(self, words: list[str]) -> list[str]:
-        """Masked words and words with two letters swapped as the known word they stand for."""
+        kinds = [ftrl([(f, int(label == k)) for f, label in data]) for k in KINDS]
+        models = [self.harm, *kinds]
+        self.constant = np.array([m.get(-1, 0.0) for m in models])
+        used = np.array(sorted({i for m in models for i in m if i >= 0}), dtype=np.int64)
+        self.place = np.zeros(SLOTS, np.int32)  # of each slot the row of its weights, 0 for none
+        self.place[used] = np.arange(1, len(used) + 1)
+        self.weight = np.array([[0.0] * len(models), *([m.get(int(i), 0.0) for m in models] for i in used)])
+
+    def settled(self, w: str) -> str:
+        """A masked word, or one with two letters swapped, as the known word that it stands for."""
+        if "*" in w:
+            shape = re.compile(re.sub(r"\*+", lambda m: "." * len(m[0]), re.sub(r"[^\w*]", "", w)) + "$")
+            return next((b for b in self.bad if len(b) == len(w) and shape.match(b)), w.replace("*", ""))
+        return self.swapped[w] if w not in self.known and w in self.swapped else w
+
+    def numbers(self, words: list[str]) -> list[int]:
         out = []
         for w in words:
-            if "*" in w:
-                shape = re.compile(re.sub(r"\*+", lambda m: "." * len(m[0]), re.sub(r"[^\w*]", "", w)) + "$")
-                w = next((b for b in self.bad if len(b) == len(w) and shape.match(b)), w.replace("*", ""))
-            elif w not in self.known and w in self.swapped:
-                w = self.swapped[w]
-            out.append(w)
+            n = self._numbers.get(w)
+            if n is None:
+                if len(self._numbers) > REMEMBERED:
+                    self._numbers.clear()
+                n = self._numbers[w] = xxhash.xxh3_64_intdigest(self.settled(w).encode("utf-8", "surrogatepass")) - (1 << 63)
+            out.append(n)
         return out
 
-    def score(self, text: str) -> tuple[float, str | None]:
-        """(harm from 0 to 1, kind) of a text's worst sentence; (0.0, None) without words."""
-        worst, slots = None, None
-        get = self.harm.get
-        for words in sentences(text):
-            f = features(self.settled(words))
-            s = sum(get(i, 0.0) for i in f)
-            if worst is None or s > worst:
-                worst, slots = s, f
-        if worst is None:
-            return 0.0, None
-        kind = max(KINDS, key=lambda k: self.kind[k].get(-1, 0.0) + sum(self.kind[k].get(i, 0.0) for i in slots))
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, worst + get(-1, 0.0))))), kind
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
+        """(harm from 0 to 1, kind) of each text's worst sentence; 0 and None without words."""
+        flat: list[int] = []
+        begin, end, owner = [], [], []
+        for t, text in enumerate(texts):
+            for words in sentences(text) if isinstance(text, str) and text else ():
+                at = len(flat)
+                flat += self.numbers(words)
+                for i, j in windows(len(words)):
+                    begin.append(at + i)
+                    end.append(at + j)
+                    owner.append(t)
+        harm, kind = np.zeros(len(texts)), [None] * len(texts)
+        if not begin:
+            return harm, kind
+        x, b, e, o = np.array(flat, np.int64), np.array(begin), np.array(end), np.array(owner)
+        order = np.lexsort((e, b))
+        b, e, o = b[order], e[order], o[order]
+        held = []
+        for span, slot in slots(x):
+            row = self.place[slot]
+            at = np.flatnonzero(row)
+            low, high = np.searchsorted(b, at + span - 2 * WINDOW), np.searchsorted(b, at, side="right")
+            times = np.maximum(high - low, 0)
+            which = np.repeat(np.arange(len(at)), times)
+            window = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+            inside = e[window] >= at[which] + span
+            held.append(np.stack((window[inside], row[at[which[inside]]])))
+        pairs = np.unique(np.concatenate(held, axis=1), axis=1) if held else np.zeros((2, 0), np.int64)  # a feature counts once in a sentence
+        total = np.stack([np.bincount(pairs[0], self.weight[pairs[1], m], minlength=len(b)) for m in range(len(self.constant))], axis=1)
+        first = np.lexsort((b, -total[:, 0], o))
+        first = first[np.r_[True, o[first][1:] != o[first][:-1]]]  # of each text with words the worst sentence
+        worst = total[first] + self.constant
+        harm[o[first]] = 1 / (1 + np.exp(-np.clip(worst[:, 0], -35, 35)))
+        for t, k in zip(o[first].tolist(), worst[:, 1:].argmax(1).tolist()):
+            kind[t] = KINDS[k]
+        return harm, kind
+
+    def score(self, text: str | None) -> tuple[float, str | None]:
+        harm, kind = self.scores([text])
+        return float(harm[0]), kind[0]
 
 
 def fit_harm(samples: DataFrame, text: str, label: str, limit: int = LABELLED) -> Model:
@@ -216,10 +285,11 @@ def harm_scores(docs: DataFrame, key: str, text: str, model: Model, carry: list[
     rows = spread(docs.select(F.col(key), *carry, F.col(text).alias("__text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [shared.value.score(t) if isinstance(t, str) and t else (0.0, None) for t in b["__text"]]
-            out = b.drop(columns="__text")
-            yield out.assign(score=[g[0] for g in got], kind=[g[1] if g[0] >= THRESHOLD else None for g in got])
+        for batch in batches:
+            for at in range(0, len(batch), TOGETHER):
+                b = batch.iloc[at : at + TOGETHER]
+                harm, kind = shared.value.scores(b["__text"].tolist())
+                yield b.drop(columns="__text").assign(score=harm, kind=[k if h >= THRESHOLD else None for h, k in zip(harm, kind)])
 
     fields = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in (key, *carry))
     return rows.mapInPandas(run, f"{fields}, score double, kind string")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 
 from kithspark.llm import harm
-from kithspark.llm.harm import Model, fit_harm, ftrl, harm_scores, plain_word, sentences, source_rates, words_of
+from kithspark.llm.harm import Model, fit_harm, ftrl, harm_scores, plain_word, sentences, source_rates, windows, words_of
 from kithspark.llm.harm_seeds import seeds
 
 
@@ -27,8 +28,26 @@ def test_letters_set_apart_and_japanese():
 
 
 def test_long_sentences_come_in_windows():
-    windows = sentences(" ".join(f"w{i}" for i in range(100)))
-    assert all(len(w) <= 2 * harm.WINDOW for w in windows) and {x for w in windows for x in w} == {f"w{i}" for i in range(100)}
+    assert len(sentences(" ".join(f"w{i}" for i in range(100)))[0]) == 100 and sentences(" . \n") == []
+    for n in range(1, 120):
+        parts = windows(n)
+        assert all(0 < j - i <= 2 * harm.WINDOW for i, j in parts) and {k for i, j in parts for k in range(i, j)} == set(range(n))
+
+
+def test_scores_of_many_texts_are_those_of_each_sentence_by_itself(model):
+    r = random.Random(4)
+    parts = [t for t, _ in seeds()]
+    texts = [None, "", "…"] + [r.choice((". ", " ", "\n")).join(r.choices(parts, k=r.randint(1, 9))) for _ in range(60)]
+    harms, kinds = model.scores(texts)
+    for text, got, kind in zip(texts, harms, kinds):
+        worst = None
+        for words in sentences(text) if text else ():
+            for i, j in windows(len(words)):
+                held = harm.features(model.numbers(words[i:j]))
+                value = sum(model.harm.get(k, 0.0) for k in held) + model.harm.get(-1, 0.0)
+                worst = value if worst is None else max(worst, value)
+        want = 0.0 if worst is None else 1 / (1 + math.exp(-worst))
+        assert abs(got - want) < 1e-9 and (kind is None) == (worst is None)
 
 
 @pytest.mark.parametrize("text", ["You are such a stupid idiot.", "The garden was nice. YOU ARE SUCH A STUPID ID*OT! Bye.", "you are such a s t u p i d idoit", "Du bist so ein dummes Ａrschloch.", "Foreigners are vermin, get rid of them all.", "I want to fuck you all night.", "you are <b>such</b> a stupid&nbsp;idiot"])
