@@ -36,10 +36,14 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine; 2 where a vector is null, empty or zero; sizes that differ are an error."""
-    none = lambda v: F.coalesce(F.size(v) <= 0, F.lit(True)) | ~F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    differ = F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in size")).cast("double"))
-    return F.when(none(a) | none(b), F.lit(2.0)).when(F.size(a) != F.size(b), differ).otherwise(1 - dot(a, b) / (norm(a) * norm(b)))
+    """1 - cosine, from 0 to 2; 2 where a vector is null, empty, zero or not finite; sizes that differ are an error."""
+    differ = F.raise_error(F.lit("vectors differ in size")).cast("double")
+    return F.when(F.size(a) != F.size(b), differ).otherwise(metric_or_far(1 - cosine_similarity(a, b)))
+
+
+def sizes_differ(a: Column, b: Column) -> Column:
+    """Whether ``cosine_distance`` refuses the two."""
+    return F.coalesce(F.size(a) != F.size(b), F.lit(False))
 
 
 def validate_weights(full, eye) -> tuple[float, float]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithspark.functions.text import folder_name, merged_samples, name_key, stripped
@@ -9,6 +11,7 @@ from kithspark.functions.vectors import dot, norm, unit, usable, validate_weight
 from kithspark.operators.clustering import _dense, check_tolerance
 from kithspark.operators.relations import _key
 from kithspark.schemas import EYE_WEIGHT, FULL_WEIGHT, MAX_SAMPLES, PERSONS, TOLERANCE
+from kithspark.session import BROADCAST_ROWS
 
 
 def decoded(persons: DataFrame) -> DataFrame:
@@ -31,8 +34,9 @@ def candidates(queries: DataFrame, persons: DataFrame, tolerance: float = TOLERA
     ``queries`` is (query_id, *scope, full, eye). The whole-face vectors must be
     equally long; eye vectors count where both are usable and equally long. With
     a ``scope`` only people of the same scope meet, through an equi-join.
-    Without one every person meets every query: persons must then be a table
-    that can be broadcast.
+    Without one every person meets every query: persons are broadcast if there are
+    at most BROADCAST_ROWS of them (they are counted), else they are dealt into
+    blocks, and every query goes to each block.
     """
     check_tolerance(tolerance)
     wf, we = validate_weights(*weights)
@@ -40,7 +44,14 @@ def candidates(queries: DataFrame, persons: DataFrame, tolerance: float = TOLERA
     side = lambda df, key, full, eye, n: df.where(usable(F.col(full))).select(key, *scope, unit(F.col(full)).alias(f"{n}f"), unit(F.col(eye)).alias(f"{n}e"))
     q, p = side(queries, "query_id", "full", "eye", "q"), side(persons, "person_name", "embedding", "eye_embedding", "p")
     on = F.size("qf") == F.size("pf")
-    near = q.join(p, scope).where(on) if scope else q.join(F.broadcast(p), on)
+    if scope:
+        near = q.join(p, scope).where(on)
+    elif (n := persons.count()) <= BROADCAST_ROWS:
+        near = q.join(F.broadcast(p), on)
+    else:
+        blocks = math.ceil(n / BROADCAST_ROWS)
+        each = q.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        near = each.join(p.withColumn("__b", F.pmod(F.xxhash64("person_name"), F.lit(blocks)).cast("int")), "__b").where(on)
     both = F.coalesce(F.size("qe") == F.size("pe"), F.lit(False)) & F.col("qe").isNotNull() & F.col("pe").isNotNull()
     rated = near.select("query_id", *scope, "person_name", both.alias("used_eye"), (1 - dot(F.col("qf"), F.col("pf"))).alias("full_distance"), F.when(both, 1 - dot(F.col("qe"), F.col("pe"))).alias("eye_distance"))
     distance = F.coalesce(F.lit(wf) * F.col("full_distance") + F.lit(we) * F.col("eye_distance"), F.col("full_distance"))

@@ -6,41 +6,71 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kithspark.functions.text import basename, folder_name, gallery_name, resolved_path, stem, suffix
+from kithspark.operators.clustering import _dense
 from kithspark.schemas import GALLERY_STEM, NOT_IN_GALLERY, UNKNOWN_FOLDER
 
 
+#: Numbers at the end of a stem as they are given to names that are taken; there must be something before them.
+_NUMBERS = r"(?<=.)((?:_[1-9]\d*)+)$"
+
+
+def _families(names: DataFrame, folder: str) -> DataFrame:
+    """(folder, __low, __family) for names (folder, __low, rows, old): of names that can stand in each other's way the shortest.
+
+    ``a_1.jpg`` can meet what ``a.jpg`` is turned into, if that is there more than
+    once, or can itself be turned into something for the same reason.
+    """
+    head, tail = stem(F.col("__low")), suffix(F.col("__low"))
+    end = F.regexp_extract(head, _NUMBERS, 1)
+    numbered = names.withColumn("end", end).where("end <> ''").select(folder, "__low", F.expr("substring(end, 2)").alias("end"), F.substring(head, F.lit(1), F.length(head) - F.length("end")).alias("base"), tail.alias("tail"))
+    parts = numbered.withColumn("part", F.split("end", "_"))
+    up = parts.select(folder, "__low", F.posexplode(F.expr("transform(sequence(1, size(part)), k -> concat(base, concat_ws('', transform(slice(part, 1, size(part) - k), x -> concat('_', x))), tail))")).alias("k", "above"))
+    source = names.where("rows > 0").select(F.col(folder), F.col("__low").alias("above"), (F.col("rows") + F.col("old") > 1).alias("again"))
+    steps = up.join(source, [folder, "above"], "left").groupBy(folder, "__low").agg(F.array_sort(F.collect_list(F.struct("k", "above", "again"))).alias("s"))
+    # From the shortest on: a name is turned into others if it is there twice, or if a shorter one may take it.
+    turned = F.expr("aggregate(reverse(s), cast(array() as array<boolean>), (have, x) -> array_append(have, coalesce(x.again, false) or (x.again is not null and coalesce(try_element_at(have, -1), false))))")
+    linked = steps.withColumn("turned", F.reverse(turned)).withColumn("far", F.expr("aggregate(turned, struct(true as on, 0 as n), (a, t) -> struct(a.on and t as on, a.n + if(a.on and t, 1, 0) as n), a -> a.n)"))
+    return linked.where("far > 0").select(folder, "__low", F.expr("element_at(s, far).above").alias("__family"))
+
+
 def free_names(rows: DataFrame, folder: str, name: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``target``: the name, or stem_1, stem_2 and so on, the first that is free in its folder.
 
     Names are taken in ``order`` and compared without case; ``existing`` (folder,
-    name) are taken from the start. Only names of one family, alike but for
-    numbers at the end of the stem, can stand in each other's way. Families whose
-    members all have the same name are numbered by rank, without gathering them;
-    the others are gone through in order, a family at a time.
+    name) are taken from the start. A name that is there once, and that no other
+    can be turned into, stays as it is and moves nowhere. Repeats of one name that
+    meet no other are numbered over range partitions, so a name that very many
+    files have is no load. Only names that can really stand in each other's way,
+    as ``a_1.jpg`` and a repeated ``a.jpg`` can, are gone through in order, a
+    family at a time.
     """
-    family = F.concat(F.lower(F.regexp_replace(stem(F.col(name)), r"(_\d+)+$", "")), F.lit("/"), F.lower(suffix(F.col(name))))
-    keyed = rows.withColumn("__family", family).withColumn("__low", F.lower(name))
-    by = [folder, "__family"]
-    shape = keyed.groupBy(*by).agg(F.min("__low").alias("__a"), F.max("__low").alias("__b"), F.count(F.lit(1)).alias("__n"))
-    plain = F.col("__a") == F.col("__b")
+    keyed = rows.withColumn("__low", F.lower(name))
+    here = keyed.groupBy(folder, "__low").agg(F.count(F.lit(1)).alias("rows")).withColumn("old", F.lit(0))
     if existing is not None:
-        old = existing.select(F.col(folder).alias(folder), F.concat(F.lower(F.regexp_replace(stem(F.col("name")), r"(_\d+)+$", "")), F.lit("/"), F.lower(suffix(F.col("name")))).alias("__family"), F.lower("name").alias("__taken"))
-        held = old.groupBy(*by).agg(F.collect_set("__taken").alias("__taken"))
-        shape = shape.join(held, by, "left").withColumn("__plain", plain & F.col("__taken").isNull())
-    else:
-        shape = shape.withColumn("__plain", plain).withColumn("__taken", F.lit(None).cast("array<string>"))
-    marked = keyed.join(shape.select(*by, "__plain", "__taken", F.col("__a")), by)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    numbered = F.concat(stem(F.col(name)), F.lit("_"), F.col("__i").cast("string"), suffix(F.col(name)))
-    # A natural number at the end ("a_1" given twice) keeps its own stem, as any other name does.
-    easy = marked.where("__plain").withColumn("__i", place).withColumn("target", F.when(F.col("__i") == 0, F.col(name)).otherwise(numbered))
+        held = existing.select(F.col(folder), F.lower("name").alias("__low")).where("__low is not null").distinct()
+        here = here.unionByName(held.withColumn("rows", F.lit(0).cast("bigint")).withColumn("old", F.lit(1))).groupBy(folder, "__low").agg(F.sum("rows").alias("rows"), F.max("old").alias("old"))
+    names = here.join(_families(here, folder), [folder, "__low"], "left").withColumn("__family", F.coalesce("__family", "__low"))
+    shape = names.groupBy(folder, "__family").agg(F.count(F.lit(1)).alias("__names"), F.sum("rows").alias("__rows"), F.max("old").alias("__old"))
+    # What isn't alone in its family, or is there more than once.
+    crowded = names.join(shape.where("__rows > 0 and (__names > 1 or __rows > 1 or __old > 0)"), [folder, "__family"])
+    known = crowded.where("rows > 0").select(folder, "__low", "__family", (F.col("__names") + F.col("__old") > 1).alias("__hard"))
+    marked = keyed.join(known, [folder, "__low"], "left")
+    alone = marked.where("__family is null").select(*rows.columns, F.col(name).alias("target"))
+
+    again = marked.where("not __hard")
+    at = _dense(again.select(*rows.columns, "__low", F.struct(folder, "__low", *order).alias("__by")), "__by")
+    first = at.groupBy(folder, "__low").agg(F.min("position").alias("__first"))
+    place = F.col("position") - F.col("__first")
+    numbered = F.concat(stem(F.col(name)), F.lit("_"), place.cast("string"), suffix(F.col(name)))
+    repeats = at.join(first, [folder, "__low"]).select(*rows.columns, F.when(place == 0, F.col(name)).otherwise(numbered).alias("target"))
+
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     given = [*rows.columns, "target"]
 
-    def go(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(order, kind="stable")
-        first = b["__taken"].iloc[0]
-        taken, following, out = set() if first is None else set(first), {}, []
+    def go(every: pd.DataFrame) -> pd.DataFrame:
+        b = every[~every["__is_old"]]
+        taken, following, out = set(every["__low"][every["__is_old"]]), {}, []
+        b = b.sort_values(order, kind="stable") if order else b
         for n in b[name]:
             dot = n.rfind(".")
             head, tail = (n[:dot], n[dot:]) if dot > 0 else (n, "")
@@ -57,8 +87,10 @@ def free_names(rows: DataFrame, folder: str, name: str, order: list[str], existi
             out.append(candidate)
         return b.assign(target=out)[given]
 
-    hard = marked.where("not __plain").groupBy(*by).applyInPandas(go, f"{fields}, target string")
-    return easy.select(*rows.columns, "target").unionByName(hard)
+    taken = crowded.where("old > 0").select(folder, "__family", "__low", F.lit(True).alias("__is_old"))
+    inside = marked.where("__hard").drop("__hard").withColumn("__is_old", F.lit(False)).unionByName(taken, allowMissingColumns=True)
+    hard = inside.groupBy(folder, "__family").applyInPandas(go, f"{fields}, target string")
+    return alone.unionByName(repeats).unionByName(hard)
 
 
 def organized(assignments: DataFrame, order: list[str], existing: DataFrame | None = None, unknown: str = UNKNOWN_FOLDER) -> DataFrame:
@@ -86,26 +118,37 @@ def folder_counts(manifest: DataFrame) -> DataFrame:
 def copied(manifest: DataFrame, target_root: str, move: bool = False) -> DataFrame:
     """Copies the files of a manifest and gives (source, folder, target, error), error null where it worked.
 
-    Runs where the files can be reached from the tasks. With ``move`` a source is
-    removed once all its copies are written; existing files are never replaced.
+    Runs where the files can be reached from the tasks. A copy is written under
+    another name and then takes its own in one step, so a task that is tried again
+    finds whole copies or none; one that equals its source is taken for done, and
+    any other file in its place is never replaced. With ``move`` a source is
+    removed once all its copies are there.
     """
+
     def run(b: pd.DataFrame) -> pd.DataFrame:
+        import filecmp
         import os
         import shutil
+        import uuid
 
-        errors = []
-        for source, folder, target in zip(b.source, b.folder, b.target):
-            to = os.path.join(target_root, folder, target)
+        source, errors = b.source.iloc[0], []
+        targets = [os.path.join(target_root, f, t) for f, t in zip(b.folder, b.target)]
+        gone = not os.path.exists(source) and move and all(map(os.path.exists, targets))  # moved by an earlier try
+        for to in targets:
+            part = f"{to}.{uuid.uuid4().hex}.part"
             try:
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                if os.path.exists(to):
-                    raise FileExistsError(to)
-                shutil.copy2(source, to)
+                if not gone and not (os.path.exists(to) and os.path.exists(source) and filecmp.cmp(source, to, shallow=False)):
+                    os.makedirs(os.path.dirname(to), exist_ok=True)
+                    shutil.copy2(source, part)
+                    os.link(part, to)  # fails if there is one
                 errors.append(None)
             except OSError as e:
                 errors.append(type(e).__name__)
-        if move and not any(errors):
-            os.unlink(b.source.iloc[0])
+            finally:
+                if os.path.exists(part):
+                    os.unlink(part)
+        if move and not gone and not any(errors):
+            os.unlink(source)
         return b.assign(error=errors)
 
     return manifest.select("source", "folder", "target").groupBy("source").applyInPandas(run, "source string, folder string, target string, error string")

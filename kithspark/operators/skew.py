@@ -90,7 +90,8 @@ def skew_join(big: DataFrame, other: DataFrame, key: str, share: float = 0.01, h
     if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         apart = big.where(is_heavy).join(F.broadcast(hot), on, how)
     else:
-        left = big.where(is_heavy).withColumn("__s", (F.rand(7) * salts).cast("int"))
+        # By a hash of the row, so that a task that is tried again salts it as before.
+        left = big.where(is_heavy).withColumn("__s", F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(big.columns)]))), F.lit(salts)).cast("int"))
         copies = hot.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         apart = left.join(copies, on & (F.col("__s") == F.col("__t")), how).drop("__s", "__t")
     return apart.unionByName(light).drop("__k")

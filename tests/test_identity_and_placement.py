@@ -127,6 +127,20 @@ def test_free_names_match_a_plain_pass(spark):
     assert [x.target for x in sorted(plc.free_names(df, "folder", "name", ["n"]).collect(), key=lambda x: x.n)] == want
 
 
+def test_camera_names_stay_where_they_are(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.lit("f").alias("folder"), F.format_string("IMG_%d.jpg", F.col("id") + 1).alias("name"), F.col("id").cast("int").alias("n"))
+    names = rows.groupBy("folder", F.lower("name").alias("__low")).agg(F.count(F.lit(1)).alias("rows")).withColumn("old", F.lit(0))
+    assert plc._families(names, "folder").count() == 0
+    assert plc.free_names(rows, "folder", "name", ["n"]).where("target = name").count() == 3000
+    extra = spark.createDataFrame([("f", "img.jpg", 5000), ("f", "IMG.jpg", 5001), ("f", "img_2.jpg", 5002)], rows.schema)
+    got = {r.n: r.target for r in plc.free_names(rows.unionByName(extra), "folder", "name", ["n"]).where("n >= 5000").collect()}
+    assert got == {5000: "img.jpg", 5001: "IMG_3001.jpg", 5002: "img_2_1.jpg"}
+    same = spark.range(500).select(F.lit("f").alias("folder"), F.lit("a.jpg").alias("name"), F.col("id").cast("int").alias("n"))
+    assert {r.n: r.target for r in plc.free_names(same, "folder", "name", ["n"]).collect()} == {i: f"a_{i}.jpg" if i else "a.jpg" for i in range(500)}
+
+
 def test_gallery(spark):
     rows = [("John", "/a.jpg"), ("John.", "/a.png"), ("John", "/b.png"), ("John", "/a.PNG"), ("John", "/x.db"), ("John", "/gone.jpg"), ("...", "/a.jpg")]
     photos = spark.createDataFrame(rows, "person_name string, image_path string")
@@ -147,3 +161,9 @@ def test_copies(spark, tmp_path):
     got = {(r.folder, r.target): r.error for r in plc.copied(m, str(tmp_path / "out"), move=True).collect()}
     assert got == {("Ann", "a.jpg"): None, ("Bob", "a.jpg"): None, ("Ann", "g.jpg"): "FileNotFoundError"}
     assert (tmp_path / "out/Bob/a.jpg").exists() and not (tmp_path / "in/a.jpg").exists()
+    assert {(r.folder, r.target): r.error for r in plc.copied(m.limit(2), str(tmp_path / "out"), move=True).collect()} == {("Ann", "a.jpg"): None, ("Bob", "a.jpg"): None}  # tried again
+    (tmp_path / "in/a.jpg").write_bytes(b"2")
+    (tmp_path / "out/Ann/a.jpg").unlink()
+    got = {r.folder: r.error for r in plc.copied(m.limit(2), str(tmp_path / "out"), move=True).collect()}
+    assert got == {"Ann": None, "Bob": "FileExistsError"} and (tmp_path / "in/a.jpg").exists() and (tmp_path / "out/Bob/a.jpg").read_bytes() == b"1"
+    assert not list((tmp_path / "out").rglob("*.part"))
