@@ -43,6 +43,7 @@ THRESHOLD, ASSUMED = 0.5, 0.15
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|[\r\n]+|[。！？¡¿]|(?<=\s)[-–—•*](?=\s)")
 _JOINED = re.compile(r"^\W*\w(?:[._\-*·'’]\w)+\W*$")
+_REPEATED = re.compile(r"([a-zа-я])\1{2,}")
 _MASK = re.compile(r"[*#%]")
 _KANA = re.compile(r"[぀-ヿ一-鿿]+")
 _EMOJI = re.compile(r"[☀-➿\U0001f000-\U0001faff]+")
@@ -50,6 +51,8 @@ _EMOJI = re.compile(r"[☀-➿\U0001f000-\U0001faff]+")
 
 def plain_word(w: str) -> str:
     """A word without its disguise: plain lower-case letters, with ``*`` where one is masked."""
+    if w.isascii() and w.isalpha():
+        return _REPEATED.sub(r"\1", w.lower())
     s = w
     if not s.isascii():
         s = unicodedata.normalize("NFKC", "".join(c for c in s if not invisible(c)))
@@ -65,7 +68,7 @@ def plain_word(w: str) -> str:
     if any(c in "@$!€013457" for c in s) and sum(c.isalpha() for c in s) >= 2 and re.fullmatch(r"[a-z@$!€013457*#%]+", s) and not re.fullmatch(r"[a-z]{1,4}\d+|\d+[a-z]{1,3}", s):
         s = s.translate(_LEET)
     s = _MASK.sub("*", s) if any(c.isalpha() for c in s) else s
-    return re.sub(r"([a-zа-я])\1{2,}", r"\1", s)
+    return _REPEATED.sub(r"\1", s)
 
 
 class Pieces(dict):
@@ -107,11 +110,11 @@ def words_of(sentence: str) -> list[str]:
     return out
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The sentences of a text as words."""
+def sentences(text: str) -> list[str]:
+    """The sentences of a text that aren't empty."""
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", _INLINE.sub("", html.unescape(text)))
-    return [words for s in _SPLIT.split(_EMOJI.sub(". ", text)) if s and (words := words_of(s))]
+    return [s for s in _SPLIT.split(text if text.isascii() else _EMOJI.sub(". ", text)) if s]
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -189,8 +192,8 @@ class Model:
                 bad.setdefault(w, [0, 0])[label != "ok"] += 1
         self.bad = sorted(w for w, (ok, harm) in bad.items() if harm > 2 * ok and len(w) >= 4 and "*" not in w)
         self.swapped = {w[:i] + w[i + 1] + w[i] + w[i + 2 :]: w for w in self.bad if len(w) >= 5 for i in range(1, len(w) - 1)}
-        self._numbers: dict[str, int] = {}
-        data = [(features(self.numbers(w)), label) for w, label in rows]
+        self._numbers: dict[str, tuple[tuple[int, ...], int]] = {}
+        data = [(features([self.number(x) for x in w]), label) for w, label in rows]
         self.harm = ftrl([(f, int(label != "ok")) for f, label in data])
         harmful = sum(label != "ok" for _, label in rows)
         odds = max(1, harmful) / max(1, len(rows) - harmful)
@@ -210,15 +213,24 @@ class Model:
             return next((b for b in self.bad if len(b) == len(w) and shape.match(b)), w.replace("*", ""))
         return self.swapped[w] if w not in self.known and w in self.swapped else w
 
-    def numbers(self, words: list[str]) -> list[int]:
-        out = []
-        for w in words:
-            n = self._numbers.get(w)
-            if n is None:
+    def number(self, word: str) -> int:
+        return xxhash.xxh3_64_intdigest(self.settled(word).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+    def numbers(self, sentence: str) -> list[int]:
+        """The words of a sentence as numbers."""
+        out: list[int] = []
+        run = 0
+        for w in sentence.split():
+            got = self._numbers.get(w)
+            if got is None:
                 if len(self._numbers) > REMEMBERED:
                     self._numbers.clear()
-                n = self._numbers[w] = xxhash.xxh3_64_intdigest(self.settled(w).encode("utf-8", "surrogatepass")) - (1 << 63)
-            out.append(n)
+                parts = _PIECES[w]
+                got = self._numbers[w] = tuple(self.number(p) for _, p in parts), sum(single for single, _ in parts)
+            out += got[0]
+            run = run + got[1] if got[1] else 0
+            if run >= 3:  # letters set apart may have to be put together
+                return [self.number(x) for x in words_of(sentence)]
         return out
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
@@ -226,10 +238,10 @@ class Model:
         flat: list[int] = []
         begin, end, owner = [], [], []
         for t, text in enumerate(texts):
-            for words in sentences(text) if isinstance(text, str) and text else ():
+            for sentence in sentences(text) if isinstance(text, str) and text else ():
                 at = len(flat)
-                flat += self.numbers(words)
-                for i, j in windows(len(words)):
+                flat += self.numbers(sentence)
+                for i, j in windows(len(flat) - at) if len(flat) > at else ():
                     begin.append(at + i)
                     end.append(at + j)
                     owner.append(t)
@@ -239,18 +251,18 @@ class Model:
         x, b, e, o = np.array(flat, np.int64), np.array(begin), np.array(end), np.array(owner)
         order = np.lexsort((e, b))
         b, e, o = b[order], e[order], o[order]
-        held = []
-        for span, slot in slots(x):
-            row = self.place[slot]
-            at = np.flatnonzero(row)
-            low, high = np.searchsorted(b, at + span - 2 * WINDOW), np.searchsorted(b, at, side="right")
-            times = np.maximum(high - low, 0)
-            which = np.repeat(np.arange(len(at)), times)
-            window = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
-            inside = e[window] >= at[which] + span
-            held.append(np.stack((window[inside], row[at[which[inside]]])))
-        pairs = np.unique(np.concatenate(held, axis=1), axis=1) if held else np.zeros((2, 0), np.int64)  # a feature counts once in a sentence
-        total = np.stack([np.bincount(pairs[0], self.weight[pairs[1], m], minlength=len(b)) for m in range(len(self.constant))], axis=1)
+        found = [(at, np.full(len(at), span), row[at]) for span, row in ((span, self.place[slot]) for span, slot in slots(x)) for at in [np.flatnonzero(row)]]
+        at, span, row = (np.concatenate(f) for f in zip(*found))
+        order = np.lexsort((at, row))
+        at, span, row = at[order], span[order], row[order]
+        before = np.r_[-1, np.where(row[1:] == row[:-1], at[:-1], -1)] if len(at) else at  # the last time that a feature occurred
+        low, high = np.searchsorted(b, at + span - 2 * WINDOW), np.searchsorted(b, at, side="right")
+        times = np.maximum(high - low, 0)
+        which = np.repeat(np.arange(len(at)), times)
+        window = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+        inside = (e[window] >= (at + span)[which]) & (before[which] < b[window])  # a feature counts once in a sentence
+        window, row = window[inside], row[which[inside]]
+        total = np.stack([np.bincount(window, self.weight[row, m], minlength=len(b)) for m in range(len(self.constant))], axis=1)
         first = np.lexsort((b, -total[:, 0], o))
         first = first[np.r_[True, o[first][1:] != o[first][:-1]]]  # of each text with words the worst sentence
         worst = total[first] + self.constant
