@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from kithspark.functions.geometry import box, centre, diagonal, same_face
 from kithspark.functions.vectors import unit, usable
-from kithspark.operators.graph import close_pairs, density_clusters
+from kithspark.operators.graph import Metric, close_pairs, density_clusters
 from kithspark.schemas import AGREEMENT, COVERED_AGREEMENT, EYE_WEIGHT, FULL_COVERAGE, FULL_WEIGHT, IOU, MIN_EYE_FACES, MIN_FACES, NOISE, PROXIMITY, TOLERANCE
 from kithspark.session import Scratch
 
@@ -47,15 +51,19 @@ def _compare(x, y, keys: list[str]):
     return out
 
 
-def _numbered(labels: DataFrame, keep: int) -> DataFrame:
-    """(id, cluster_id): clusters of at least ``keep`` faces, numbered from 0 by their smallest id.
+def _numbered(labels: DataFrame, keep: int, scope: str | None = None) -> DataFrame:
+    """(id, cluster_id): clusters of at least ``keep`` faces, numbered from 0 by their smallest id, in each scope anew.
 
     The numbers go over the table of clusters, not of faces. Faces of smaller
     clusters have none and are left out.
     """
-    sizes = labels.groupBy("label").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= keep)
-    numbered = _dense(sizes, "first").select("label", F.col("position").alias("cluster_id"))
-    return labels.join(numbered, "label").select("id", "cluster_id")
+    inside = [scope] if scope else []
+    sizes = labels.groupBy(*inside, "label").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= keep)
+    numbered = _dense(sizes.withColumn("__at", F.struct(*inside, "first")), "__at").select(*inside, "label", F.col("position").alias("cluster_id"))
+    if scope:
+        begin = numbered.groupBy(scope).agg(F.min("cluster_id").alias("begin"))
+        numbered = numbered.join(begin, scope).select(scope, "label", (F.col("cluster_id") - F.col("begin")).alias("cluster_id"))
+    return labels.join(numbered, [*inside, "label"]).select("id", *inside, "cluster_id")
 
 
 def _dense(rows: DataFrame, by: str) -> DataFrame:
@@ -99,40 +107,60 @@ def reconciled(faces: DataFrame, eye_groups: DataFrame, full_labels: DataFrame)
     return keyed.join(numbered, "place").select("id", F.col("position").alias("label"))
 
 
-def face_labels(faces: DataFrame, tolerance: float = TOLERANCE, min_samples: int = 1, use_eyes: bool = True, weights: tuple[float, float] = (FULL_WEIGHT, EYE_WEIGHT)) -> DataFrame:
-    """(id, label) for usable faces (id, full, eye): by whole faces, by both signals, or reconciled.
+def face_labels(faces: DataFrame, tolerance: float = TOLERANCE, min_samples: int = 1, use_eyes: bool = True, weights: tuple[float, float] = (FULL_WEIGHT, EYE_WEIGHT), scope: str | None = None, metric: Metric | None = None) -> DataFrame:
+    """(id, label) for usable faces (id, full, eye[, scope]): by whole faces, by both signals, or reconciled.
 
     With fewer than two eye vectors whole faces decide; with an eye vector for
     every face one pass over both does; otherwise the faces with eyes are grouped
-    by both, all faces by the whole face, and the two are reconciled.
+    by both, all faces by the whole face, and the two are reconciled. With a
+    ``scope`` column each scope is decided and clustered by itself; the labels of
+    different scopes differ. Rows of a null scope are left out.
     """
     check_tolerance(tolerance)
-    faces = Scratch(faces.sparkSession, "faces").keep(faces.select("id", "full", F.when(usable(F.col("eye")), F.col("eye")).alias("eye")))
-    counts = faces.agg(F.count(F.lit(1)).alias("n"), F.count("eye").alias("eyes")).first()
-    whole = lambda: density_clusters(faces, close_pairs(faces, tolerance), min_samples)
-    if not use_eyes or counts.eyes < MIN_EYE_FACES:
-        return whole()
-    with_eyes = faces.where("eye is not null")
-    by_both = density_clusters(with_eyes, close_pairs(with_eyes, tolerance, eye="eye", weights=weights), min_samples)
-    if counts.eyes == counts.n:
+    inside = F.col(scope) if scope else F.lit(0)
+    faces = Scratch(faces.sparkSession, "faces").keep(faces.select("id", inside.alias("scope"), "full", F.when(usable(F.col("eye")), F.col("eye")).alias("eye")).where("scope is not null"))
+    pairs = lambda rows, **eye: close_pairs(rows, tolerance, weights=weights, scope="scope", metric=metric, **eye)
+    whole = lambda rows: density_clusters(rows, pairs(rows), min_samples)
+    if not use_eyes:
+        return whole(faces)
+    counts = faces.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.count("eye").alias("eyes"))
+    kind = F.when(F.col("eyes") < MIN_EYE_FACES, "whole").when(F.col("eyes") == F.col("n"), "both").otherwise("mixed")
+    kinds = {r.kind for r in counts.select(kind.alias("kind")).distinct().collect()}  # three at most
+    if kinds <= {"whole"}:
+        return whole(faces)
+    rated = faces.join(counts.select("scope", kind.alias("kind")), "scope")
+    with_eyes = rated.where("eye is not null and kind <> 'whole'")
+    by_both = density_clusters(with_eyes, pairs(with_eyes, eye="eye"), min_samples)
+    if kinds == {"both"}:
         return by_both
     # A noise face is a group of its own.
-    alone = lambda df: df.select("id", F.when(F.col("label") == NOISE, F.col("id")).otherwise(F.col("label")).alias("eye_group"))
-    coverage = faces.select("id", F.col("eye").isNotNull().cast("double").alias("coverage"))
-    return reconciled(coverage, alone(by_both), whole().withColumnRenamed("label", "full_label"))
+    alone = by_both.select("id", F.when(F.col("label") == NOISE, F.col("id")).otherwise(F.col("label")).alias("eye_group"))
+    rest = rated.where("kind <> 'both'")
+    mixed = rest.select("id", F.col("eye").isNotNull().cast("double").alias("coverage"))
+    settled = reconciled(mixed, alone.join(mixed.select("id"), "id", "left_semi"), whole(rest).withColumnRenamed("label", "full_label"))
+    if "both" not in kinds:
+        return settled
+    # Labels of scopes that need no reconciling are put apart from the others'.
+    return settled.unionByName(by_both.join(rated.where("kind = 'both'").select("id"), "id", "left_semi").select("id", F.when(F.col("label") == NOISE, F.lit(NOISE)).otherwise(-2 - F.col("label")).alias("label")))
 
 
-def cluster_faces(faces: DataFrame, tolerance: float = TOLERANCE, min_faces: int = MIN_FACES, min_samples: int = 1, use_eyes: bool = True, weights: tuple[float, float] = (FULL_WEIGHT, EYE_WEIGHT), deduplicate: bool = True) -> DataFrame:
-    """(face_id, cluster_id) of every face in a cluster of at least ``min_faces``.
+def cluster_faces(faces: DataFrame, tolerance: float = TOLERANCE, min_faces: int = MIN_FACES, min_samples: int = 1, use_eyes: bool = True, weights: tuple[float, float] = (FULL_WEIGHT, EYE_WEIGHT), deduplicate: bool = True, scope: str | None = None, metric: Metric | None = None) -> DataFrame:
+    """(face_id[, scope], cluster_id) of every face in a cluster of at least ``min_faces``.
 
     Double boxes go first, then faces without a usable vector; the rest are
     labelled by ``face_labels`` and clusters numbered from 0 by their first face.
-    The order of faces is that of their ids. An empty table gives no row.
+    The order of faces is that of their ids. With a ``scope``, such as a library,
+    each scope is a collection of its own: its faces meet no others, and its
+    clusters are numbered from 0. An empty table gives no row.
     """
     rows = deduplicated(faces) if deduplicate else faces
-    labels = face_labels(rows.where(usable(F.col("embedding"))).select(F.col("face_id").alias("id"), F.col("embedding").alias("full"), F.col("eye_embedding").alias("eye")), tolerance, min_samples, use_eyes, weights)
-    single = labels.withColumn("label", F.when(F.col("label") == NOISE, -2 - F.col("id")).otherwise(F.col("label")))
-    return _numbered(single, min_faces).select(F.col("id").alias("face_id"), "cluster_id")
+    inside = [scope] if scope else []
+    good = rows.where(usable(F.col("embedding"))).select(F.col("face_id").alias("id"), *inside, F.col("embedding").alias("full"), F.col("eye_embedding").alias("eye"))
+    labels = face_labels(good, tolerance, min_samples, use_eyes, weights, scope, metric)
+    single = labels.withColumn("label", F.when(F.col("label") == NOISE, F.lit(-(1 << 62)) - F.col("id")).otherwise(F.col("label")))
+    if scope:
+        single = single.join(good.select("id", scope), "id")
+    return _numbered(single, min_faces, scope).withColumnRenamed("id", "face_id")
 
 
 def check_tolerance(tolerance: float) -> None:
@@ -143,17 +171,36 @@ def check_tolerance(tolerance: float) -> None:
 def centroids(faces: DataFrame, key: str | list[str], vector: str, out: str = "centroid") -> DataFrame:
     """(key, n, out): the mean of each group's usable vectors, scaled to length one; a zero mean stays as it is.
 
-    Sums are made element by element, so they are reduced before the shuffle and
-    a group of any size is no load. Vectors that are not as long as the group's
-    longest are left out of its mean.
+    Each batch of rows is summed group by group before anything moves, and the sums
+    travel as one value, so a group of any size is no load. Vectors that are not
+    as long as the group's longest are left out of its mean.
     """
     keys = [key] if isinstance(key, str) else key
-    rows = faces.where(usable(F.col(vector))).select(*keys, vector)
-    element = rows.select(*keys, F.size(vector).alias("d"), F.posexplode(F.transform(vector, lambda x: x.cast("double"))).alias("pos", "x"))
-    sums = element.groupBy(*keys, "d", "pos").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    vectors = sums.groupBy(*keys, "d").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
-    longest = vectors.groupBy(*keys).agg(F.max_by(F.struct("n", "v"), "d").alias("best"))
-    return longest.select(*keys, F.col("best.n").alias("n"), F.coalesce(unit(F.col("best.v")), F.col("best.v")).alias(out))
+    rows = faces.where(usable(F.col(vector))).select(F.struct(*keys).alias("key"), F.size(vector).alias("d"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            for d in np.unique(b.column(1).to_numpy()):
+                part = b.filter(pa.array(b.column(1).to_numpy() == d))
+                x = part.column(2).flatten().to_numpy().reshape(part.num_rows, -1)
+                keyed = pa.table({f"k{i}": c for i, c in enumerate(part.column(0).flatten())} | {"row": np.arange(part.num_rows)})
+                groups = keyed.group_by([f"k{i}" for i in range(len(keys))], use_threads=False).aggregate([("row", "list"), ("row", "min")])
+                lists = groups.column("row_list").combine_chunks()
+                begin = lists.offsets.to_numpy()[:-1]
+                total = np.add.reduceat(x[lists.flatten().to_numpy()], begin - begin[0], axis=0)
+                first = part.column(0).take(groups.column("row_min").combine_chunks())
+                n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                sums = pa.ListArray.from_arrays(np.arange(0, total.size + 1, total.shape[1], dtype=np.int32), pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([first, pa.array(np.full(len(n), d, np.int32)), pa.array(n), sums], ["key", "d", "n", "v"])
+
+    parts = rows.mapInArrow(sums, T.StructType([rows.schema["key"], T.StructField("d", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))]))
+    element = parts.select("key", "d", "n", F.posexplode("v").alias("pos", "x"))
+    added = element.groupBy("key", "d", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    vectors = added.groupBy("key", "d").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("x") / F.col("n")).alias("x")))), lambda s: s["x"]).alias("v"))
+    longest = vectors.groupBy("key").agg(F.max_by(F.struct("n", "v"), "d").alias("best"))
+    return longest.select("key.*", F.col("best.n").alias("n"), F.coalesce(unit(F.col("best.v")), F.col("best.v")).alias(out))
 
 
 def profiles(faces: DataFrame, key: str = "cluster_id") -> DataFrame:

@@ -14,7 +14,10 @@ from kithspark.functions.text import name_key, stripped
 
 
 def keyed(occ: DataFrame) -> DataFrame:
-    """Occurrences with a name and a path, and ``name_key``."""
+    """Occurrences with a name and a path, and ``name_key``; a table that has the key, as a stored one can, keeps it, so
+    that filters on it reach the scan."""
+    if "name_key" in occ.columns:
+        return occ.where(F.col("name_key").isNotNull() & (F.col("image_path") != ""))
     return occ.where((stripped(F.col("person_name")) != "") & (stripped(F.col("image_path")) != "")).withColumn("name_key", name_key(F.col("person_name")))
 
 
@@ -115,6 +118,26 @@ def intersection_summary(occ: DataFrame, names: list[str]) -> DataFrame:
     return per.agg(F.count_if(F.col("n") == len(matched)).alias("count"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
 
 
+def intersection_per_person(occ: DataFrame, names: list[str]) -> DataFrame:
+    """(person_name, photos) of each matched name."""
+    matched, _ = resolved(occ, names)
+    return people(occ.where(name_key(F.col("person_name")).isin([_key(n) for n in matched])) if matched else occ.limit(0)).select("person_name", "photos")
+
+
+def axis(occ: DataFrame) -> DataFrame:
+    """(name_key, person_name, position): the names in the order of their keys, from 0."""
+    from kithspark.operators.clustering import _dense
+
+    return _dense(keyed(occ).groupBy("name_key").agg(F.min("person_name").alias("person_name")), "name_key")
+
+
+def matrix(occ: DataFrame) -> DataFrame:
+    """(i, j, person_a, person_b, photos): pairs that share a photo, with their places on the axis."""
+    names = axis(occ)
+    of = lambda at, name: names.select(F.col("position").alias(at), F.col("person_name").alias(name))
+    return co_occurrence(occ).join(of("i", "person_a"), "person_a").join(of("j", "person_b"), "person_b").select("i", "j", "person_a", "person_b", "photos")
+
+
 def co_occurrence(occ: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
     """(*scope, person_a, person_b, photos) of each pair that shares a photo, a before b.
 

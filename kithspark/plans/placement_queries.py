@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kithspark.functions import text as tx
 from kithspark.operators import identity, placement as plc, views
-from kithspark.operators.latest import latest_rows
+from kithspark.operators.latest import latest_rows, latest_wide
 from kithspark.plans.registry import Registry, table
 from kithspark.plans.relation_queries import FOCC, OCC, UPPER, by_library, key_sql, occurrences
 from kithspark.schemas import DEVICE_NAMES
@@ -50,13 +50,15 @@ def g3(spark, folder):
     return requests(spark, folder).select("request_id", tx.gallery_name(F.col("name")).alias("folder"))
 
 
-@R.add("g3_gallery_folders", """
-WITH p AS (SELECT DISTINCT person_name FROM persons), b AS (SELECT person_name, regexp_replace(upper(person_name), '[^A-Z]', '', 'g') AS base FROM p)
-SELECT count(*) AS people, count(DISTINCT person_name) AS folders FROM b""")
+@R.add("g3_gallery_folders", f"""
+WITH p AS (SELECT DISTINCT person_name, trim(coalesce(person_name, ''), {_BLANK}) AS s FROM persons), c AS (SELECT person_name, rtrim(regexp_replace(s, {_ILLEGAL}, '_', 'g'), '. ') AS c FROM p),
+n AS (SELECT person_name, CASE WHEN regexp_full_match(c, '[. ]*') THEN 'unnamed' ELSE c END AS n FROM c),
+b AS (SELECT person_name, substr(CASE WHEN upper(n) IN ({_DEVICES}) THEN n || '_' ELSE n END, 1, 80) AS base FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY person_name NULLS FIRST) AS nth FROM b)
+SELECT person_name, CASE WHEN nth = 1 THEN base ELSE substr(base, 1, 76) || ' (' || nth || ')' END AS folder FROM r""")
 def g3_folders(spark, folder):
-    """Folders of all persons: as many as there are names, so no two share one."""
-    f = plc.gallery_folders(table(spark, folder, "persons"))
-    return f.agg(F.count(F.lit(1)).alias("people"), F.count_distinct("folder").alias("folders"))
+    """The folder of every person's name; names with the same one are told apart by a number."""
+    return plc.gallery_folders(table(spark, folder, "persons"))
 
 
 @R.add("i8_named_clusters", f"""
@@ -205,13 +207,18 @@ def g11(spark, folder):
 
 
 @R.add("t6_merged_samples", """
-WITH e AS (SELECT person_id, x, list_position(sample_image_paths, x) AS at FROM (SELECT person_id, sample_image_paths, unnest(sample_image_paths) AS x FROM persons))
-SELECT person_id, least(8, count(DISTINCT x)) AS n FROM e WHERE x IS NOT NULL GROUP BY 1""")
+WITH f AS (SELECT library_id, arg_min(sample_image_paths, person_id) AS first FROM persons WHERE sample_image_paths IS NOT NULL GROUP BY 1),
+p AS (SELECT person_id, list_filter(coalesce(sample_image_paths, []), lambda x: x IS NOT NULL)[1:5] AS own, list_filter(coalesce(first, []), lambda x: x IS NOT NULL) AS other FROM persons LEFT JOIN f USING (library_id)),
+n AS (SELECT person_id, own, other, list_filter(other, lambda x: len(list_filter(own, lambda y: lower(y) = lower(x))) = 0) AS fresh FROM p),
+o AS (SELECT person_id, own, list_filter(fresh, lambda x, i: list_position(list_transform(fresh, lambda y: lower(y)), lower(x)) = i) AS fresh FROM n)
+SELECT person_id, array_to_string(list_concat(own, fresh)[1:8], '|') AS samples FROM o""")
 def t6(spark, folder):
-    """A person's samples merged with themselves in capitals: nothing is added, eight at most stay."""
-    once = F.array_distinct(F.array_compact("sample_image_paths"))
-    merged = tx.merged_samples(once, F.transform(once, F.upper), 8)
-    return table(spark, folder, "persons").select("person_id", F.size(merged).cast("bigint").alias("n")).where("n > 0")
+    """A person's first samples, and after them those of the library's first person that are new; eight at most."""
+    p = table(spark, folder, "persons")
+    clean = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    first = p.where("sample_image_paths is not null").groupBy("library_id").agg(F.min_by("sample_image_paths", "person_id").alias("first"))
+    own = F.slice(clean(F.col("sample_image_paths")), 1, 5)
+    return p.join(first, "library_id", "left").select("person_id", F.array_join(tx.merged_samples(own, clean(F.col("first")), 8), "|").alias("samples"))
 
 
 @R.add("g12_timestamps", "SELECT person_id, strftime(timezone('UTC', created_at), '%Y-%m-%dT%H:%M:%S+00:00') AS iso, strftime(timezone('UTC', updated_at), '%Y-%m-%d %H:%M') AS stamp FROM persons")
@@ -254,10 +261,12 @@ def g15(spark, folder):
     return table(spark, folder, "documents").select("doc_id", tx.data_url(F.encode("text", "utf-8")).alias("url"))
 
 
-@R.add("g16_rounded_scores", "SELECT cluster_id, round(avg(s), 2) AS score FROM (SELECT cluster_id, CASE WHEN CAST(score AS VARCHAR) <> 'nan' THEN score END AS s FROM face_records) WHERE s IS NOT NULL GROUP BY 1")
+@R.add("g16_rounded_scores", """
+WITH latest AS (SELECT face_id, arg_max(r, r) AS r FROM (SELECT face_id, {'at': arrived_at, 'c': cluster_id, 's': score} AS r FROM face_records WHERE face_id IS NOT NULL) GROUP BY 1)
+SELECT cluster_id, round(avg(s), 2) AS score FROM (SELECT r.c AS cluster_id, CASE WHEN CAST(r.s AS VARCHAR) <> 'nan' THEN r.s END AS s FROM latest) WHERE s IS NOT NULL GROUP BY 1""")
 def g16(spark, folder):
-    """Mean scores to two places; null and NaN don't count. (In the SQL a test by isnan would be optimised away by the file's statistics.)"""
-    f = table(spark, folder, "face_records").where("score is not null and not isnan(score)")
+    """Mean scores of each cluster's faces to two places; null and NaN don't count. (In the SQL a test by isnan would be optimised away by the file's statistics.)"""
+    f = latest_rows(table(spark, folder, "face_records"), "face_id", "arrived_at", ["cluster_id", "score"]).where("score is not null and not isnan(score)")
     return f.groupBy("cluster_id").agg(F.round(F.avg("score"), 2).alias("score"))
 
 
@@ -361,31 +370,82 @@ _NORM = "sqrt(list_sum(list_transform({0}, lambda x: x * x)))"
 _GOOD = "(len({0}) > 0 AND len(list_filter({0}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({0}, lambda x: x <> 0)) > 0)"
 
 
-@R.add("i2_upserted_persons", f"""
-WITH best AS (SELECT library_id, translate(trim(person_name), '{UPPER}', 'abcdefghijklmnopqrstuvwxyz') AS k, arg_min({{'n': person_name, 'e': CAST(embedding AS DOUBLE[]), 'i': face_id}}, face_id) AS r, count(*) AS faces
-  FROM face_records WHERE person_name IS NOT NULL AND trim(person_name) <> '' AND len(embedding) = 64 AND {_GOOD.format('embedding')} GROUP BY ALL),
-b AS (SELECT library_id, k, trim(r.n) AS name, list_transform(r.e, lambda x: x / {_NORM.format('r.e')}) AS e, faces FROM best),
-p AS (SELECT *, translate(person_name, '{UPPER}', 'abcdefghijklmnopqrstuvwxyz') AS k FROM persons),
-j AS (SELECT coalesce(p.library_id, b.library_id) AS library_id, coalesce(b.name, p.person_name) AS person_name,
+_MARKS = "CASE WHEN changed THEN round(list_sum(list_transform({0}, lambda x, i: CAST(CAST(x AS FLOAT) AS DOUBLE) * i)), 3) + 0.0 END AS {1}_mark"
+_UNIT = "list_transform({0}, lambda x: x / " + _NORM + ")"
+
+_UPSERTED = f"""
+WITH face AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY arrived_at DESC NULLS LAST, library_id DESC NULLS LAST, person_name DESC NULLS LAST, image_path DESC NULLS LAST) AS rn FROM face_records WHERE face_id IS NOT NULL) WHERE rn = 1),
+named AS (SELECT *, translate(trim(person_name), '{UPPER}', 'abcdefghijklmnopqrstuvwxyz') AS k FROM face WHERE person_name IS NOT NULL AND trim(person_name) <> '' AND len(embedding) = 64 AND {_GOOD.format('embedding')}),
+best AS (SELECT library_id, k, arg_min({{'n': person_name, 'e': CAST(embedding AS DOUBLE[]), 'y': CASE WHEN {_GOOD.format('eye_embedding')} THEN CAST(eye_embedding AS DOUBLE[]) END}}, face_id) AS r, count(*) AS faces, count(*) FILTER ({_GOOD.format('eye_embedding')}) AS eyes,
+  [min(image_path), max(image_path)] AS paths FROM named GROUP BY ALL),
+b AS (SELECT library_id, k, trim(r.n) AS name, {_UNIT.format('r.e')} AS e, {_UNIT.format('r.y')} AS y, faces, greatest(1, eyes) AS eyes, list_filter(paths, lambda x, i: x IS NOT NULL AND (i = 1 OR lower(x) <> lower(paths[1]))) AS paths FROM best),
+p AS (SELECT *, translate(person_name, '{UPPER}', 'abcdefghijklmnopqrstuvwxyz') AS k, CASE WHEN {_GOOD.format('eye_embedding')} THEN eye_embedding END AS oy, greatest(0, coalesce(eye_faces_seen, 0)) AS oe FROM persons),
+j AS (SELECT coalesce(p.library_id, b.library_id) AS library_id, coalesce(b.name, p.person_name) AS person_name, b.name IS NOT NULL AS changed,
   CASE WHEN b.name IS NULL THEN p.faces_seen WHEN p.person_name IS NULL THEN b.faces ELSE greatest(1, coalesce(p.faces_seen, 1)) + b.faces END AS faces_seen,
-  CASE WHEN b.name IS NULL THEN NULL WHEN p.person_name IS NULL OR len(p.embedding) IS DISTINCT FROM 64 OR NOT {_GOOD.format('p.embedding')} THEN b.e
-    ELSE list_transform(range(1, 65), lambda i: p.embedding[i] * greatest(1, coalesce(p.faces_seen, 1)) + b.e[i] * b.faces) END AS v
-  FROM p FULL JOIN b ON p.library_id = b.library_id AND p.k = b.k)
-SELECT library_id, person_name, faces_seen, round(v[1] / {_NORM.format('v')}, 4) AS first_value FROM j""")
+  CASE WHEN p.person_name IS NULL OR len(p.embedding) IS DISTINCT FROM 64 OR NOT {_GOOD.format('p.embedding')} THEN b.e
+    ELSE list_transform(range(1, 65), lambda i: p.embedding[i] * greatest(1, coalesce(p.faces_seen, 1)) + b.e[i] * b.faces) END AS v,
+  CASE WHEN b.name IS NULL THEN p.eye_faces_seen WHEN b.y IS NULL THEN coalesce(p.oe, 0) WHEN p.oy IS NULL OR len(p.oy) <> len(b.y) THEN b.eyes ELSE p.oe + b.eyes END AS eye_faces_seen,
+  CASE WHEN b.y IS NULL THEN CAST(p.oy AS DOUBLE[]) WHEN p.oy IS NULL OR len(p.oy) <> len(b.y) THEN b.y ELSE list_transform(range(1, len(b.y) + 1), lambda i: p.oy[i] * p.oe + b.y[i] * b.eyes) END AS w, b.y IS NULL OR p.oy IS NULL OR len(p.oy) <> len(b.y) AS w_done,
+  coalesce(p.sample_image_paths, []) AS old_paths, coalesce(b.paths, []) AS new_paths
+  FROM p FULL JOIN b ON p.library_id = b.library_id AND p.k = b.k),
+u AS (SELECT *, {_UNIT.format('v')} AS full_vector, CASE WHEN w_done THEN w ELSE {_UNIT.format('w')} END AS eye_vector, list_concat(old_paths, list_filter(new_paths, lambda x: len(list_filter(old_paths, lambda y: lower(y) = lower(x))) = 0))[1:8] AS samples FROM j)
+SELECT library_id, person_name, faces_seen, eye_faces_seen, CASE WHEN changed THEN array_to_string(samples, '|') END AS samples, {_MARKS.format('full_vector', 'full')}, {_MARKS.format('eye_vector', 'eye')} FROM u"""
+
+
+def _batch(spark, folder) -> DataFrame:
+    """All named faces as one batch of persons: of a name the least face's vectors, the number of its faces, two of its photos."""
+    from kithspark.functions.vectors import usable
+
+    columns = ["library_id", "person_name", "image_path", "embedding", "eye_embedding"]
+    f = latest_wide(table(spark, folder, "face_records"), "face_id", "arrived_at", columns)
+    f = f.where((F.trim("person_name") != "") & (F.size("embedding") == 64) & usable(F.col("embedding")))
+    eye = usable(F.col("eye_embedding"))
+    keyed = f.select("face_id", "library_id", tx.name_key(F.trim("person_name")).alias("k"), F.trim("person_name").alias("n"), "image_path", "embedding", F.when(eye, F.col("eye_embedding")).alias("eye"))
+    counts = keyed.groupBy("library_id", "k").agg(F.min("face_id").alias("face_id"), F.count(F.lit(1)).cast("int").alias("faces"), F.count("eye").cast("int").alias("eyes"), F.min("image_path").alias("a"), F.max("image_path").alias("b"))
+    chosen = keyed.select("face_id", "n", "embedding", "eye").join(counts, "face_id")
+    return chosen.select("library_id", F.col("n").alias("person_name"), "embedding", tx.first_by(F.array_compact(F.array("a", "b")), F.lower).alias("sample_image_paths"), F.col("faces").alias("faces_seen"), F.col("eye").alias("eye_embedding"), F.col("eyes").alias("eye_faces_seen"))
+
+
+_NOW = "2025-01-01 00:00:00"
+
+
+def _shown(after: DataFrame) -> DataFrame:
+    changed = F.col("updated_at") == F.lit(_NOW).cast("timestamp")
+    mark = lambda v: F.when(changed, F.round(F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x), 3) + 0.0)
+    return after.select("library_id", "person_name", "faces_seen", "eye_faces_seen", F.when(changed, F.array_join("sample_image_paths", "|")).alias("samples"), mark("embedding").alias("full_mark"), mark("eye_embedding").alias("eye_mark"))
+
+
+@R.add("i2_upserted_persons", _UPSERTED)
 def i2(spark, folder):
-    """Persons after all named faces were added: new ones, and vectors blended by numbers of faces."""
-    f = table(spark, folder, "face_records").where((F.col("person_name").isNotNull()) & (F.size("embedding") == 64))
+    """Persons after all named faces were added: new ones, and both vectors blended by numbers of faces."""
+    return _shown(identity.upserted(table(spark, folder, "persons"), _batch(spark, folder), F.lit(_NOW).cast("timestamp"), ["library_id"]))
+
+
+_MERGED = f"""
+WITH l AS (SELECT min(library_id) AS lib FROM persons), q AS (SELECT * FROM persons WHERE library_id = (SELECT lib FROM l)),
+o AS (SELECT person_id, row_number() OVER (ORDER BY translate(person_name, '{UPPER}', 'abcdefghijklmnopqrstuvwxyz')) AS r FROM q WHERE len(embedding) = 64 AND {_GOOD.format('embedding')} AND {_GOOD.format('eye_embedding')} AND len(eye_embedding) = 64),
+a AS (SELECT q.* FROM q JOIN o USING (person_id) WHERE r = 1), b AS (SELECT q.* FROM q JOIN o USING (person_id) WHERE r = 2),
+n AS (SELECT a.person_id, greatest(1, coalesce(a.faces_seen, 1)) AS fa, greatest(1, coalesce(b.faces_seen, 1)) AS fb, greatest(1, coalesce(a.eye_faces_seen, 1)) AS ea, greatest(1, coalesce(b.eye_faces_seen, 1)) AS eb,
+  CAST(a.embedding AS DOUBLE[]) AS va, CAST(b.embedding AS DOUBLE[]) AS vb, CAST(a.eye_embedding AS DOUBLE[]) AS ya, CAST(b.eye_embedding AS DOUBLE[]) AS yb, b.person_id AS gone FROM a, b),
+m AS (SELECT person_id, gone, fa + fb AS faces, list_transform(range(1, 65), lambda i: va[i] * fa + vb[i] * fb) AS v, list_transform(range(1, 65), lambda i: ya[i] * ea + yb[i] * eb) AS y FROM n),
+u AS (SELECT q.person_id, q.person_name, m.person_id IS NOT NULL AS changed, coalesce(m.faces, q.faces_seen) AS faces_seen, coalesce(m.faces, q.eye_faces_seen) AS eye_faces_seen, {_UNIT.format('m.v')} AS v, {_UNIT.format('m.y')} AS y
+  FROM q LEFT JOIN m USING (person_id) WHERE q.person_id NOT IN (SELECT gone FROM m))
+SELECT person_id, person_name, faces_seen, eye_faces_seen, {_MARKS.format('v', 'full')}, {_MARKS.format('y', 'eye')} FROM u"""
+
+
+@R.add("i3_merged_persons", _MERGED)
+def i3(spark, folder):
+    """The persons of the first library after its first two people, by name, of those with both vectors were made one."""
     from kithspark.functions.vectors import usable
 
-    f = f.where((F.trim("person_name") != "") & usable(F.col("embedding")))
-    # The least face stands for a name; its row is found on narrow keys.
-    key = [F.col("library_id"), tx.name_key(F.trim("person_name")).alias("k")]
-    first = f.groupBy(*key).agg(F.min_by(F.struct(F.trim("person_name").alias("n"), F.col("embedding").alias("e")), "face_id").alias("r"), F.count(F.lit(1)).cast("int").alias("faces"))
-    batch = first.select("library_id", F.col("r.n").alias("person_name"), F.col("r.e").alias("embedding"), F.array().cast("array<string>").alias("sample_image_paths"), F.col("faces").alias("faces_seen"), F.lit(None).cast("array<float>").alias("eye_embedding"), F.lit(0).alias("eye_faces_seen"))
-    old = table(spark, folder, "persons")
-    after = identity.upserted(old, batch, F.lit("2025-01-01 00:00:00").cast("timestamp"), ["library_id"])
-    changed = F.col("updated_at") == F.lit("2025-01-01 00:00:00").cast("timestamp")
-    return after.select("library_id", "person_name", "faces_seen", F.round(F.when(changed, F.col("embedding")[0].cast("double")), 4).alias("first_value"))
+    p = table(spark, folder, "persons")
+    lib = p.agg(F.min("library_id")).first()[0]
+    q = p.where(F.col("library_id") == F.lit(lib))
+    both = usable(F.col("embedding")) & (F.size("embedding") == 64) & usable(F.col("eye_embedding")) & (F.size("eye_embedding") == 64)
+    two = [r.person_name for r in q.where(both).orderBy(tx.name_key(F.col("person_name"))).select("person_name").limit(2).collect()]
+    after = identity.merged_persons(q, *two, F.lit(_NOW).cast("timestamp")) if len(two) == 2 else q
+    ids = q.select("person_name", "person_id")
+    return _shown(after).drop("samples", "library_id").join(ids, "person_name").select("person_id", "person_name", "faces_seen", "eye_faces_seen", "full_mark", "eye_mark")
 
 
 @R.add("j8_unknown_names", f"""
@@ -419,16 +479,67 @@ def j4(spark, folder):
     return skew_join(f.select("face_id", "cluster_id"), labels, "cluster_id", how="left").select("face_id", "label")
 
 
-@R.add("k5_updated_persons", f"""
-SELECT library_id, count(*) AS persons, count(DISTINCT {key_sql('person_name')}) AS names FROM persons GROUP BY 1""")
+@R.add("k5_updated_persons", _UPSERTED)
 def k5(spark, folder):
-    """Persons written to a store and read back, as every update of them is."""
+    """Persons written to a store, updated in its touched parts by a batch of named faces, and read back."""
     from kithspark.session import shared_dir
     from kithspark.sources.store import Store
 
     p = table(spark, folder, "persons")
-    store = Store(spark, f"{shared_dir(spark)}/persons-{uuid.uuid4().hex}", p.schema)
+    store = Store(spark, f"{shared_dir(spark)}/persons-{uuid.uuid4().hex}", p.schema, tx.name_key(F.trim("person_name")), 16)
     store.write(p)
-    store.drop_old()
-    back = store.read()
-    return back.groupBy("library_id").agg(F.count(F.lit(1)).alias("persons"), F.count_distinct(tx.name_key(F.col("person_name"))).alias("names"))
+    batch = _batch(spark, folder)
+    parts = store.touched(batch)
+    store.write(identity.upserted(store.read(parts), batch, F.lit(_NOW).cast("timestamp"), ["library_id"]), only=parts)
+    store.drop_old(1)
+    return _shown(store.read())
+
+
+# A model that stands for a detector: what an image's bytes say decides what is found in it.
+_STUB = """
+WITH i AS (SELECT image_path, length(image_path) AS n FROM images WHERE image_path IS NOT NULL AND regexp_matches(lower(image_path), '[^./]\\.(jpg|jpeg|png|bmp|webp)$')),
+k AS (SELECT *, CASE WHEN n % 5 = 4 THEN 'broken' WHEN n % 7 = 6 THEN 'unreadable' WHEN n % 11 = 10 THEN 'failed' ELSE 'ok' END AS kind FROM i)"""
+
+
+def _scanned(spark, folder) -> DataFrame:
+    """(path, content) of the images: four bytes that show the kind of file, and then the length of the path."""
+    n = F.length("image_path")
+    head = F.when(n % 5 == 4, F.lit("00000000")).when(n % 3 == 0, F.lit("FFD8FFE0")).when(n % 3 == 1, F.lit("89504E47")).otherwise(F.lit("424D0000"))
+    content = F.concat(F.unhex(head), F.when(n % 3 == 1, F.unhex(F.lit("0D0A1A0A"))).otherwise(F.unhex(F.lit("20202020"))), F.encode(n.cast("string"), "utf-8"))
+    i = table(spark, folder, "images").where(img.is_supported(F.col("image_path")))
+    return i.select(F.col("image_path").alias("path"), content.alias("content"))
+
+
+def _stub():
+    def detect(content: bytes) -> list[dict]:
+        n = int(content[8:])
+        if n % 7 == 6:
+            raise ValueError("no image")
+        if n % 11 == 10:
+            raise RuntimeError("out of order")
+        return [{"x1": i, "y1": n, "x2": i + 10, "y2": n + 10, "score": 0.5, "embedding": [float(i), float(n)] if i % 2 == 0 else None, "eye_embedding": None} for i in range(n % 4)]
+
+    return detect
+
+
+@R.add("s3_readable_images", _STUB + " SELECT image_path AS path FROM k WHERE kind <> 'broken'")
+def s3(spark, folder):
+    """Images whose first bytes are those of a picture."""
+    return _scanned(spark, folder).where(img.is_readable(F.col("content"))).select("path")
+
+
+@R.add("u1_processed_images", _STUB + """ SELECT image_path AS path, kind AS status, CASE WHEN kind = 'ok' THEN n % 4 ELSE 0 END AS faces_detected, CASE WHEN kind = 'ok' THEN (n % 4 + 1) // 2 ELSE 0 END AS embedded,
+  CASE kind WHEN 'unreadable' THEN 'no image' WHEN 'failed' THEN 'RuntimeError: out of order' END AS error FROM k WHERE kind <> 'broken'""")
+def u1(spark, folder):
+    """Every readable image through a model of one's own; what goes wrong in one image stays with it."""
+    images = _scanned(spark, folder).where(img.is_readable(F.col("content")))
+    return img.processed(images, _stub).select("path", "status", "faces_detected", "embedded", "error")
+
+
+@R.add("sv_p1_faces_with_vectors", _STUB + """, f AS (SELECT image_path, n, unnest(range(n % 4)) AS i FROM k WHERE kind = 'ok')
+SELECT image_path, i AS position, i AS x1, n AS y1, i + 10 AS x2, n + 10 AS y2, i * 1000 + n AS vector FROM f WHERE i % 2 = 0""")
+def p1(spark, folder):
+    """One row for each face that the model gave a vector."""
+    images = _scanned(spark, folder).where(img.is_readable(F.col("content")))
+    rows = img.face_rows(img.processed(images, _stub))
+    return rows.select("image_path", "position", "x1", "y1", "x2", "y2", (F.col("embedding")[0] * 1000 + F.col("embedding")[1]).cast("bigint").alias("vector"))

@@ -126,8 +126,28 @@ def r8_library(spark, folder):
     return rel.co_occurrence(by_library(spark, folder), ["library_id"])
 
 
-@R.add("r9_matrix", f"WITH {OCC}, p AS ({PAIRS}) SELECT count(*) AS pairs, coalesce(max(photos), 0) AS most, (SELECT count(DISTINCT k) FROM occ) AS names FROM p")
+@R.add("r6_per_person", f"WITH {OCC} SELECT min(person_name) AS person_name, count(*) AS photos FROM occ WHERE k IN ('supplier#000000001', 'supplier#000000002') GROUP BY k")
+def r6_per_person(spark, folder):
+    """The matched names of the same request, each with its number of photos."""
+    return rel.intersection_per_person(occurrences(spark, folder), [*NAMES, "ghost"])
+
+
+@R.add("r9_matrix", f"""
+WITH {OCC}, n AS (SELECT min(person_name) AS person_name, k, row_number() OVER (ORDER BY k) - 1 AS at FROM occ GROUP BY k),
+p AS (SELECT a.k AS ka, b.k AS kb, count(*) AS photos FROM occ a JOIN occ b ON a.image_path = b.image_path AND a.k < b.k GROUP BY ALL)
+SELECT x.at AS i, y.at AS j, x.person_name AS person_a, y.person_name AS person_b, photos FROM p JOIN n x ON x.k = ka JOIN n y ON y.k = kb""")
 def r9(spark, folder):
+    """Every entry of the matrix of pairs with its places on the axis."""
+    return rel.matrix(occurrences(spark, folder))
+
+
+@R.add("r9_axis", f"WITH {OCC} SELECT min(person_name) AS person_name, row_number() OVER (ORDER BY k) - 1 AS position FROM occ GROUP BY k")
+def r9_axis(spark, folder):
+    return rel.axis(occurrences(spark, folder)).select("person_name", "position")
+
+
+@R.add("r9_totals", f"WITH {OCC}, p AS ({PAIRS}) SELECT count(*) AS pairs, coalesce(max(photos), 0) AS most, (SELECT count(DISTINCT k) FROM occ) AS names FROM p")
+def r9_totals(spark, folder):
     """The size of the matrix of pairs, its largest entry and its axis."""
     occ = occurrences(spark, folder)
     pairs = rel.co_occurrence(occ).agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.max("photos"), F.lit(0)).alias("most"))

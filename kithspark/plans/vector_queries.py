@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kithspark.functions import geometry as geo, vectors as vec
 from kithspark.operators import clustering as clu, identity, views
@@ -57,19 +57,31 @@ def components_sql(name: str, edges: str, vertices: str = "SELECT id FROM f") ->
 EPS, EPS_FUSED = 0.45, 0.5
 
 
+def marks_sql(v: str) -> str:
+    """Two numbers that every element of a vector, and its place, goes into."""
+    return f"round(list_sum(list_transform({v}, lambda x, i: x * i)), 3) + 0.0 AS mark_1, round(list_sum(list_transform({v}, lambda x, i: x * (i % 7 - 3))), 3) + 0.0 AS mark_2"
+
+
+def marks(v: Column, *names: str) -> list[Column]:
+    total = lambda f: F.round(F.aggregate(F.transform(v, lambda x, i: x.cast("double") * f(i + 1)), F.lit(0.0), lambda s, x: s + x), 3) + 0.0
+    one, two = names or ("mark_1", "mark_2")
+    return [total(lambda i: i).alias(one), total(lambda i: i % 7 - 3).alias(two)]
+
+
 @R.add("c1_cosine_similarity", f"WITH {FACE} SELECT face_id, round({cos_sql('embedding', 'eye_embedding')}, 4) AS similarity FROM face")
 def c1(spark, folder):
     """Similarity of a face's two vectors; null where one can't be used."""
     return faces(spark, folder, "embedding", "eye_embedding").select("face_id", F.round(vec.cosine_similarity(F.col("embedding"), F.col("eye_embedding")), 4).alias("similarity"))
 
 
-@R.add("c2_cosine_distance", """
-SELECT person_id, round(CASE WHEN coalesce(len(embedding), 0) = 0 OR coalesce(len(eye_embedding), 0) = 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0 OR len(list_filter(eye_embedding, lambda x: x <> 0)) = 0 THEN 2.0
-  ELSE 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(eye_embedding AS DOUBLE[])) END, 4) AS distance
-FROM persons WHERE coalesce(len(embedding) = len(eye_embedding), true)""")
+@R.add("c2_cosine_distance", f"""
+WITH d AS (SELECT person_id, coalesce(len(embedding) <> len(eye_embedding), false) AS refused, {cos_sql('embedding', 'eye_embedding')} AS c FROM persons)
+SELECT person_id, refused, CASE WHEN NOT refused THEN round(CASE WHEN c IS NULL THEN 2.0 ELSE 1 - greatest(-1, least(1, c)) END, 4) END AS distance FROM d""")
 def c2(spark, folder):
-    p = table(spark, folder, "persons").where(F.coalesce(F.size("embedding") == F.size("eye_embedding"), F.lit(True)) | F.col("embedding").isNull() | F.col("eye_embedding").isNull())
-    return p.select("person_id", F.round(vec.cosine_distance(F.col("embedding"), F.col("eye_embedding")), 4).alias("distance"))
+    """Distance of a person's two vectors, which are refused if their sizes differ."""
+    a, b = F.col("embedding"), F.col("eye_embedding")
+    refused = vec.sizes_differ(a, b)
+    return table(spark, folder, "persons").select("person_id", refused.alias("refused"), F.round(F.when(~refused, vec.cosine_distance(a, b)), 4).alias("distance"))
 
 
 _FP = f"""WITH {FACE}, fp AS (
@@ -102,10 +114,10 @@ def c7(spark, folder):
 
 
 @R.add("c8_unit_vectors", f"""
-WITH {FACE} SELECT face_id, round(embedding[1] / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS first_value
-FROM face WHERE {OK.format('embedding')}""")
+WITH {FACE}, u AS (SELECT face_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS v FROM face WHERE {OK.format('embedding')})
+SELECT face_id, {marks_sql('v')} FROM u""")
 def c8(spark, folder):
-    return faces(spark, folder, "embedding").where(vec.usable(F.col("embedding"))).select("face_id", F.round(vec.unit(F.col("embedding"))[0], 4).alias("first_value"))
+    return faces(spark, folder, "embedding").where(vec.usable(F.col("embedding"))).select("face_id", vec.unit(F.col("embedding")).alias("v")).select("face_id", *marks(F.col("v")))
 
 
 @R.add("u3_distance_or_far", f"WITH {FACE} SELECT face_id, round(coalesce(1 - {cos_sql('embedding', 'eye_embedding')}, 2.0), 4) AS distance FROM face")
@@ -293,13 +305,13 @@ def b6(spark, folder):
     return _landmarks(spark, folder).select("face_id", F.round(p[2][0] + 1e-7, 2).alias("nose_x"), F.round(p[2][1] + 1e-7, 2).alias("nose_y"), F.round(p[0][0] + 1e-7, 2).alias("eye_x"))
 
 
-@R.add("b7_periocular_sides", f"WITH {_EYES} SELECT face_id, round(span * 0.55 / 35.2 * 112, 0) AS across FROM e WHERE span > 0")
+@R.add("b7_periocular_sides", f"""
+WITH {FACE}, e AS (SELECT face_id, (x1 + 3e-1 * (x2 - x1)) AS ax, (y1 + 4e-1 * (y2 - y1)) AS ay, (x1 + 7e-1 * (x2 - x1)) AS bx, (y1 + 38e-2 * (y2 - y1)) AS byy FROM face WHERE x2 > x1 AND y2 > y1),
+p AS (SELECT face_id, (ax + bx) / 2 AS mx, (ay + byy) / 2 AS my, sqrt((ax - bx) * (ax - bx) + (ay - byy) * (ay - byy)) * 55e-2 / 352e-1 AS per FROM e)
+SELECT face_id, floor(mx - 56e0 * per) AS x1, floor(my - 516e-1 * per) AS y1, ceil(mx + 56e0 * per) AS x2, ceil(my + 604e-1 * per) AS y2 FROM p WHERE per > 0""")
 def b7(spark, folder):
-    """The eye region's width; its sides are rounded outwards, by less than two pixels together."""
-    rows = _landmarks(spark, folder).select("face_id", geo.periocular_box(F.col("points")).alias("b"), geo.eye_span(F.col("points")).alias("s"))
-    near = F.round(F.col("s") * 0.55 / 35.2 * 112, 0)
-    inside = (geo.width(F.col("b")) >= near - 1) & (geo.width(F.col("b")) <= near + 3)
-    return rows.where("b is not null").select("face_id", F.when(inside, near).alias("across"))
+    """The four sides of the eye region, rounded outwards."""
+    return _landmarks(spark, folder).select("face_id", geo.periocular_box(F.col("points")).alias("b")).where("b is not null").select("face_id", "b.*")
 
 
 @R.add("sv_p9_large_eye_regions", f"WITH {_EYES}, p AS (SELECT face_id, ceil(mx + 56 * span * 0.55 / 35.2) - floor(mx - 56 * span * 0.55 / 35.2) AS w, ceil(my + 60.4 * span * 0.55 / 35.2) - floor(my - 51.6 * span * 0.55 / 35.2) AS h FROM e) SELECT face_id FROM p WHERE least(w, h) >= 24")
@@ -313,31 +325,44 @@ c AS (SELECT library_id, cluster_id, max(n) AS n, list(x ORDER BY pos) AS v FROM
 cen AS (SELECT library_id, cluster_id, n, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS centroid FROM c)"""
 
 
-def _centroids(spark, folder):
-    f = faces(spark, folder, "library_id", "cluster_id", "embedding", "eye_embedding").where("cluster_id >= 0")
-    f = f.where(F.size("embedding") == 64)
-    return clu.centroids(f, ["library_id", "cluster_id"], "embedding")
+def _centroids(spark, folder, column="embedding"):
+    f = faces(spark, folder, "library_id", "cluster_id", column).where("cluster_id >= 0")
+    return clu.centroids(f.where(F.size(column) == 64), ["library_id", "cluster_id"], column)
 
 
-@R.add("a5_centroids", f"WITH {_ELEMENTS} SELECT library_id, cluster_id, n, round(centroid[1], 4) AS c1, round(centroid[64], 4) AS c64 FROM cen")
+_EYE_ELEMENTS = f"""eu AS (SELECT library_id, cluster_id, CAST(unnest(eye_embedding) AS DOUBLE) AS x, generate_subscripts(eye_embedding, 1) AS pos FROM face WHERE cluster_id >= 0 AND len(eye_embedding) = 64 AND {OK.format('eye_embedding')}),
+em AS (SELECT library_id, cluster_id, pos, avg(x) AS x, count(*) AS n FROM eu GROUP BY ALL),
+ec AS (SELECT library_id, cluster_id, max(n) AS eye_n, list(x ORDER BY pos) AS v FROM em GROUP BY ALL),
+ecen AS (SELECT library_id, cluster_id, eye_n, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS eye FROM ec)"""
+
+
+@R.add("a5_centroids", f"WITH {_ELEMENTS} SELECT library_id, cluster_id, n, {marks_sql('centroid')} FROM cen")
 def a5(spark, folder):
-    return _centroids(spark, folder).select("library_id", "cluster_id", "n", F.round(F.col("centroid")[0], 4).alias("c1"), F.round(F.col("centroid")[63], 4).alias("c64"))
+    return _centroids(spark, folder).select("library_id", "cluster_id", "n", *marks(F.col("centroid")))
 
 
 @R.add("a6_eye_centroids", f"""
-WITH {FACE}, u AS (SELECT cluster_id, CAST(unnest(eye_embedding) AS DOUBLE) AS x, generate_subscripts(eye_embedding, 1) AS pos FROM face WHERE cluster_id >= 0 AND len(eye_embedding) = 64 AND {OK.format('eye_embedding')}),
-m AS (SELECT cluster_id, pos, avg(x) AS x, count(*) AS n FROM u GROUP BY ALL)
-SELECT cluster_id, max(n) AS n, round(arg_min(x, pos) / sqrt(sum(x * x)), 4) AS c1 FROM m GROUP BY cluster_id""")
+WITH {FACE}, {_EYE_ELEMENTS} SELECT library_id, cluster_id, eye_n AS n, {marks_sql('eye')} FROM ecen""")
 def a6(spark, folder):
-    f = faces(spark, folder, "cluster_id", "eye_embedding").where((F.col("cluster_id") >= 0) & (F.size("eye_embedding") == 64))
-    return clu.centroids(f, "cluster_id", "eye_embedding").select("cluster_id", "n", F.round(F.col("centroid")[0], 4).alias("c1"))
+    return _centroids(spark, folder, "eye_embedding").select("library_id", "cluster_id", "n", *marks(F.col("centroid")))
+
+
+def _mean_sql(k: str, c: str) -> str:
+    return f"""{k}u AS (SELECT cluster_id, len({c}) AS d, CAST(unnest({c}) AS DOUBLE) AS x, generate_subscripts({c}, 1) AS pos FROM big WHERE {OK.format(c)}),
+{k}m AS (SELECT cluster_id, d, pos, avg(x) AS x, count(*) AS n FROM {k}u GROUP BY ALL), {k}v AS (SELECT cluster_id, d, max(n) AS n, list(x ORDER BY pos) AS v FROM {k}m GROUP BY ALL),
+{k}w AS (SELECT cluster_id, arg_max(n, d) AS n, arg_max(v, d) AS v FROM {k}v GROUP BY cluster_id),
+{k} AS (SELECT cluster_id, n, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM {k}w)"""
 
 
 @R.add("d7_cluster_profiles", f"""
-WITH {FACE} SELECT cluster_id, count(*) AS size, count(DISTINCT image_path) AS photos, round(avg(CASE WHEN {OK.format('eye_embedding')} THEN 1.0 ELSE 0.0 END), 3) AS eye_coverage FROM face WHERE cluster_id IS NOT NULL GROUP BY cluster_id""")
+WITH {FACE}, big AS (SELECT * FROM face WHERE cluster_id IS NOT NULL),
+n AS (SELECT cluster_id, count(*) AS size, count(DISTINCT image_path) AS photos, round(avg(CASE WHEN {OK.format('eye_embedding')} THEN 1.0 ELSE 0.0 END), 3) AS eye_coverage FROM big GROUP BY cluster_id),
+{_mean_sql('whole', 'embedding')}, {_mean_sql('eye', 'eye_embedding')}
+SELECT n.cluster_id, size, photos, eye_coverage, eye.n AS eye_faces, {marks_sql('whole.v')}, {marks_sql('eye.v').replace('mark_', 'eye_mark_')}
+FROM n LEFT JOIN whole ON whole.cluster_id = n.cluster_id LEFT JOIN eye ON eye.cluster_id = n.cluster_id""")
 def d7(spark, folder):
     p = clu.profiles(faces(spark, folder, "cluster_id", "image_path", "embedding", "eye_embedding"))
-    return p.select("cluster_id", "size", "photos", F.round("eye_coverage", 3).alias("eye_coverage"))
+    return p.select("cluster_id", "size", "photos", F.round("eye_coverage", 3).alias("eye_coverage"), "eye_faces", *marks(F.col("centroid")), *marks(F.col("eye_centroid"), "eye_mark_1", "eye_mark_2"))
 
 
 @R.add("sv_p3_large_clusters", f"WITH {FACE}, n AS (SELECT cluster_id FROM face WHERE cluster_id >= 0 GROUP BY 1 HAVING count(*) >= 10) SELECT face_id, CASE WHEN n.cluster_id IS NOT NULL THEN face.cluster_id END AS cluster_id FROM face LEFT JOIN n USING (cluster_id)")
@@ -354,27 +379,41 @@ def v7(spark, folder):
     return clu.first_members(faces(spark, folder, "cluster_id").where("cluster_id >= 0"), "cluster_id", "face_id", ["face_id"], 6)
 
 
-_MATCH = f"""{_ELEMENTS},
-cand AS (SELECT c.library_id, c.cluster_id, p.person_name, 1 - list_cosine_similarity(c.centroid, CAST(p.embedding AS DOUBLE[])) AS distance
-  FROM cen c JOIN persons p ON c.library_id = p.library_id AND len(p.embedding) = 64 WHERE {OK.format('p.embedding')}),
+_MATCH = f"""{_ELEMENTS}, {_EYE_ELEMENTS},
+both_cen AS (SELECT c.library_id, c.cluster_id, c.centroid, e.eye FROM cen c LEFT JOIN ecen e USING (library_id, cluster_id)),
+parts AS (SELECT c.library_id, c.cluster_id, p.person_name, 1 - list_cosine_similarity(c.centroid, CAST(p.embedding AS DOUBLE[])) AS full_distance,
+  CASE WHEN c.eye IS NOT NULL AND len(p.eye_embedding) = 64 AND {OK.format('p.eye_embedding')} THEN 1 - list_cosine_similarity(c.eye, CAST(p.eye_embedding AS DOUBLE[])) END AS eye_distance
+  FROM both_cen c JOIN persons p ON c.library_id = p.library_id AND len(p.embedding) = 64 WHERE {OK.format('p.embedding')}),
+cand AS (SELECT *, coalesce(0.4 * full_distance + 0.6 * eye_distance, full_distance) AS distance FROM parts),
 near AS (SELECT * FROM cand WHERE distance <= 0.5)"""
+_NAME_KEY = "translate(person_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _queries(spark, folder, key="query_id"):
+    """The clusters with both their centroids."""
+    c = _centroids(spark, folder).select("library_id", "cluster_id", F.col("centroid").alias("full"))
+    e = _centroids(spark, folder, "eye_embedding").select("library_id", "cluster_id", F.col("centroid").alias("eye"))
+    return c.join(e, ["library_id", "cluster_id"], "left").withColumnRenamed("cluster_id", key)
 
 
 def _near(spark, folder):
-    c = _centroids(spark, folder).select(F.col("cluster_id").alias("query_id"), "library_id", F.col("centroid").alias("full"), F.lit(None).cast("array<double>").alias("eye"))
-    return identity.candidates(c, table(spark, folder, "persons"), 0.5, ["library_id"])
+    return identity.candidates(_queries(spark, folder), table(spark, folder, "persons"), 0.5, ["library_id"])
+
 
+_RATED = ["used_eye", *[F.round(c, 4).alias(c) for c in ("distance", "full_distance", "eye_distance")]]
+_RATED_SQL = "eye_distance IS NOT NULL AS used_eye, round(distance, 4) AS distance, round(full_distance, 4) AS full_distance, round(eye_distance, 4) AS eye_distance"
 
-@R.add("i1_best_match", f"WITH {_MATCH} SELECT library_id, cluster_id, arg_min(person_name, (distance, translate(person_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS person_name, round(min(distance), 4) AS distance FROM near GROUP BY ALL")
+
+@R.add("i1_best_match", f"WITH {_MATCH}, r AS (SELECT *, row_number() OVER (PARTITION BY library_id, cluster_id ORDER BY distance, {_NAME_KEY}) AS rank FROM near) SELECT library_id, cluster_id, person_name, {_RATED_SQL} FROM r WHERE rank = 1")
 def i1(spark, folder):
-    """The known person of the library that each cluster is closest to, within tolerance."""
+    """The known person of the library that each cluster is closest to by both signals, within tolerance."""
     best = identity.best_match(_near(spark, folder), ["query_id", "library_id"])
-    return best.select("library_id", F.col("query_id").alias("cluster_id"), "person_name", F.round("distance", 4).alias("distance"))
+    return best.select("library_id", F.col("query_id").alias("cluster_id"), "person_name", *_RATED)
 
 
-@R.add("j3_candidates", f"WITH {_MATCH} SELECT library_id, cluster_id, person_name, round(distance, 4) AS distance FROM near")
+@R.add("j3_candidates", f"WITH {_MATCH} SELECT library_id, cluster_id, person_name, {_RATED_SQL} FROM near")
 def j3(spark, folder):
-    return _near(spark, folder).select("library_id", F.col("query_id").alias("cluster_id"), "person_name", F.round("distance", 4).alias("distance"))
+    return _near(spark, folder).select("library_id", F.col("query_id").alias("cluster_id"), "person_name", *_RATED)
 
 
 @R.add("w6_match_and_runner_up", f"""
@@ -390,8 +429,7 @@ WITH {_MATCH}, best AS (SELECT library_id, cluster_id, arg_min(person_name, (dis
 SELECT library_id, cluster_id, label FROM cen LEFT JOIN best USING (library_id, cluster_id)""")
 def i4(spark, folder):
     """Every cluster with its match's name, or null."""
-    c = _centroids(spark, folder).select("cluster_id", "library_id", F.col("centroid").alias("full"), F.lit(None).cast("array<double>").alias("eye"))
-    return identity.auto_labels(c, table(spark, folder, "persons"), 0.5, ["library_id"]).select("library_id", "cluster_id", "label")
+    return identity.auto_labels(_queries(spark, folder, "cluster_id"), table(spark, folder, "persons"), 0.5, ["library_id"]).select("library_id", "cluster_id", "label")
 
 
 @R.add("i5_fused_clusters", f"""
@@ -487,11 +525,27 @@ def k8(spark, folder):
     return _cards(spark, folder).select("cluster_id", geo.grid_columns(shown).alias("columns"), F.greatest(F.col("size") - 36, F.lit(0)).alias("more"))
 
 
-@R.add("d6_cluster_faces")
+_D6 = f"""{_nms_sql(f"({_IOU} >= 0.5 OR {_NEAR})").replace(chr(10) + "SELECT face_id FROM stay", ", once AS (SELECT face_id FROM stay")}),
+size_of AS (SELECT len(eye_embedding) AS d FROM face JOIN once USING (face_id) WHERE {OK.format('embedding')} AND {OK.format('eye_embedding')} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+f AS (SELECT face_id AS id, library_id AS lib, CAST(embedding AS DOUBLE[]) AS full, CASE WHEN {OK.format('eye_embedding')} AND len(eye_embedding) = (SELECT d FROM size_of) THEN CAST(eye_embedding AS DOUBLE[]) END AS eye,
+  {OK.format('eye_embedding')} IS TRUE AS seen FROM face JOIN once USING (face_id) WHERE {OK.format('embedding')} AND library_id IS NOT NULL),
+counts AS (SELECT lib, count(*) AS n, count(*) FILTER (seen) AS eyes FROM f GROUP BY lib),
+fe AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.lib = b.lib AND a.id < b.id AND len(a.full) = len(b.full) WHERE {DIST_FULL} <= 0.2),
+ee AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.lib = b.lib AND a.id < b.id AND len(a.full) = len(b.full) WHERE a.seen AND b.seen AND {DIST_FUSED} <= 0.2),
+{components_sql('eg', 'ee', 'SELECT id FROM f WHERE seen')}, {components_sql('fl', 'fe')},
+j AS (SELECT f.id, f.lib, fl.label AS fl, CASE WHEN c.eyes >= 2 THEN g.label END AS g, c.eyes = c.n AND c.eyes >= 2 AS every, CAST(f.seen AS DOUBLE) AS cov FROM f JOIN fl USING (id) JOIN counts c USING (lib) LEFT JOIN eg g USING (id)),
+hits AS (SELECT g, fl, count(*) AS h FROM j WHERE g IS NOT NULL GROUP BY g, fl), top AS (SELECT g, max(h) AS h FROM hits GROUP BY g),
+kept AS (SELECT j.g FROM j JOIN top USING (g) GROUP BY j.g HAVING any_value(top.h) / count(*) >= 0.6 OR (avg(cov) >= 0.999 AND any_value(top.h) / count(*) >= 0.4)),
+lab AS (SELECT id, lib, CASE WHEN every THEN 'e' || g WHEN k.g IS NOT NULL THEN 'e' || k.g ELSE 'f' || fl END AS label FROM j LEFT JOIN kept k USING (g)),
+num AS (SELECT lib, label, row_number() OVER (PARTITION BY lib ORDER BY min(id)) - 1 AS cluster_id FROM lab GROUP BY lib, label HAVING count(*) >= 2)
+SELECT id AS face_id, CAST(lib AS INTEGER) AS library_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM lab JOIN num USING (lib, label)"""
+
+
+@R.add("d6_cluster_faces", _D6)
 def d6(spark, folder):
-    """The whole way from detections to numbered clusters, over all faces."""
+    """The whole way from detections to the numbered clusters of each library."""
     f = faces(spark, folder, "library_id", *_BOX, "embedding", "eye_embedding")
-    return clu.cluster_faces(f, tolerance=0.2)
+    return clu.cluster_faces(f, tolerance=0.2, scope="library_id").select("face_id", "library_id", "cluster_id")
 
 
 @R.add("w5_progress", "SELECT image_path, row_number() OVER (ORDER BY image_path) AS done, count(*) OVER () AS total FROM images")

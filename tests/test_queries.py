@@ -28,7 +28,7 @@ def none(spark, tmp_path_factory):
 
 
 #: Queries over the tables that hostile.py has.
-OURS = [n for n in QUERIES if n.startswith(("p2_", "k6_", "i1_", "i4_", "i5_", "b3_", "b2_", "b4_", "a5_", "a6_", "a9_", "d6_", "d7_", "c1_", "c3_", "g2_", "g3_n", "g9_", "g10_", "j4_", "j8_", "r1_people_by", "r4_intersections", "r8_co_occurrence_by", "s8_", "sv_p2", "t2_", "v7_", "v9_", "w4_", "k1_", "k3_", "i2_", "w5_", "t6_"))]
+OURS = [n for n in QUERIES if n.startswith(("p2_", "k6_", "i1_", "i4_", "i5_", "b3_", "b2_", "b4_", "a5_", "a6_", "a9_", "d6_", "d7_", "c1_", "c3_", "g2_", "g3_n", "g9_", "g10_", "j4_", "j8_", "r1_people_by", "r4_intersections", "r8_co_occurrence_by", "s8_", "sv_p2", "t2_", "v7_", "v9_", "w4_", "k1_", "k3_", "i2_", "w5_", "t6_", "k5_", "i3_", "s3_", "u1_", "sv_p1_", "g16_", "c2_", "c8_", "j3_"))]
 
 
 @pytest.mark.parametrize("name", OURS)
