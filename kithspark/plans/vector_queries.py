@@ -400,20 +400,23 @@ def _near(spark, folder):
     return identity.candidates(_queries(spark, folder), table(spark, folder, "persons"), 0.5, ["library_id"])
 
 
-_RATED = ["used_eye", *[F.round(c, 4).alias(c) for c in ("distance", "full_distance", "eye_distance")]]
 _RATED_SQL = "eye_distance IS NOT NULL AS used_eye, round(distance, 4) AS distance, round(full_distance, 4) AS full_distance, round(eye_distance, 4) AS eye_distance"
 
 
+def _rated() -> list:
+    return ["used_eye", *[F.round(c, 4).alias(c) for c in ("distance", "full_distance", "eye_distance")]]
+
+
 @R.add("i1_best_match", f"WITH {_MATCH}, r AS (SELECT *, row_number() OVER (PARTITION BY library_id, cluster_id ORDER BY distance, {_NAME_KEY}) AS rank FROM near) SELECT library_id, cluster_id, person_name, {_RATED_SQL} FROM r WHERE rank = 1")
 def i1(spark, folder):
     """The known person of the library that each cluster is closest to by both signals, within tolerance."""
     best = identity.best_match(_near(spark, folder), ["query_id", "library_id"])
-    return best.select("library_id", F.col("query_id").alias("cluster_id"), "person_name", *_RATED)
+    return best.select("library_id", F.col("query_id").alias("cluster_id"), "person_name", *_rated())
 
 
 @R.add("j3_candidates", f"WITH {_MATCH} SELECT library_id, cluster_id, person_name, {_RATED_SQL} FROM near")
 def j3(spark, folder):
-    return _near(spark, folder).select("library_id", F.col("query_id").alias("cluster_id"), "person_name", *_RATED)
+    return _near(spark, folder).select("library_id", F.col("query_id").alias("cluster_id"), "person_name", *_rated())
 
 
 @R.add("w6_match_and_runner_up", f"""
