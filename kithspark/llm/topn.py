@@ -1,15 +1,17 @@
 """The N best items of every group, by merging sorted runs with a loser tree.
 
-Each partition of the input becomes a run, ordered by group and then by score.
-A run is cut to N items for each group before it moves: the best N overall are
-among the best N of the runs, so a group with millions of items sends at most N
-items for each run. Runs are shuffled into buckets of groups; a task merges the
-runs of its bucket and, once a group has N outputs, seeks to the next group in
-every run.
+Each partition of the input becomes a run, ordered by group and then by score,
+and is cut to N items for each group: the best N overall are among the best N of
+the runs, so a group with millions of items leaves at most N items for each run.
+The runs are stored in the shared folder; how many rows they have says into how
+many buckets of groups they are dealt, so a task of the merge gets about
+BUCKET_ROWS whatever the size of the table. A task merges the runs of its bucket
+and, once a group has N outputs, seeks to the next group in every run.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from kithspark.session import Scratch
+
 #: Items that one task of the merge should get.
-BUCKET_ROWS = 400_000
+BUCKET_ROWS = 200_000
 
 
 class LoserTree:
@@ -112,17 +116,15 @@ def top_n(df: DataFrame, group: str, score: str, item: str, n: int) -> DataFrame
             keep = b.filter(pa.array(place < n))
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(np.full(keep.num_rows, run), pa.int32())], ["g", "s", "i", "run"])
 
-    runs = rows.sortWithinPartitions("g", F.desc("s"), "i").mapInArrow(cut, "g bigint, s double, i bigint, run int")
+    scratch = Scratch(df.sparkSession, "runs")
+    runs = scratch.keep(rows.sortWithinPartitions("g", F.desc("s"), "i").mapInArrow(cut, "g bigint, s double, i bigint, run int"))
+    buckets = math.ceil(runs.count() / BUCKET_ROWS)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got)
-        g, s, i, run = (t.column(c).to_numpy() for c in ("g", "s", "i", "run"))
-        if not _ordered(g, s, i, run):
-            order = np.lexsort((i, -s, g, run))
-            g, s, i, run = g[order], s[order], i[order], run[order]
+        g, s, i, run = (pa.Table.from_batches(got).column(c).to_numpy() for c in ("g", "s", "i", "run"))
         starts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist()]
         out = np.array(merge_top(g, s, i, starts, n), dtype=np.int64)
         og = g[out]
@@ -130,11 +132,6 @@ def top_n(df: DataFrame, group: str, score: str, item: str, n: int) -> DataFrame
         rank = np.arange(len(og)) - np.repeat(new, np.diff(np.r_[new, len(og)])) + 1
         yield pa.RecordBatch.from_arrays([pa.array(og), pa.array(rank.astype(np.int32)), pa.array(i[out]), pa.array(s[out])], ["group", "rank", "item", "score"])
 
-    return runs.repartition("g").mapInArrow(merge, "group bigint, rank int, item bigint, score double")
-
-
-def _ordered(g: np.ndarray, s: np.ndarray, i: np.ndarray, run: np.ndarray) -> bool:
-    """Whether every run arrived in one piece and in order, as the shuffle usually leaves it."""
-    same = run[1:] == run[:-1]
-    up = (g[1:] > g[:-1]) | ((g[1:] == g[:-1]) & ((s[1:] < s[:-1]) | ((s[1:] == s[:-1]) & (i[1:] >= i[:-1]))))
-    return bool((up | ~same).all()) and int((~same).sum()) + 1 == len(np.unique(run))
+    # The shuffle mixes what comes from different runs; sorted by run they lie one after another again, each in its order.
+    bucket = runs.repartition(max(1, buckets), "g").sortWithinPartitions("run", "g", F.desc("s"), "i")
+    return bucket.mapInArrow(merge, "group bigint, rank int, item bigint, score double")
