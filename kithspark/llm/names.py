@@ -16,7 +16,10 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kithspark.llm.common import spread
@@ -29,6 +32,8 @@ LEAST_COSINE, COMMON, LINKAGE = 0.15, 4, 0.5
 #: A token is a typing error, however many libraries have it, if so many times as many have a word that it may be an
 #: error of; letters from which on such words are looked for by their length.
 RARER, LONG = 8, 24
+#: Slots in which the frequencies of n-grams are counted.
+GRAM_SLOTS = 1 << 20
 
 # Given names and their short and informal forms.
 NICKNAMES = """
@@ -484,16 +489,7 @@ def name_entities(names: DataFrame) -> DataFrame:
     together = F.array_sort(F.collect_list(F.struct("at", marked.alias("token"))))
     forms = scratch.keep(token.join(common, "token").groupBy("f", "lib", "person").agg(together.alias("t")).select("f", "lib", "person", F.array_join("t.token", " ").alias("form")))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"f": b.f, "lib": b.lib, "person": b.person, "gram": [grams(x.split(" ")) for x in b.form]})
-
-    gram = spread(forms).mapInPandas(cut, "f bigint, lib bigint, person boolean, gram array<string>").select("f", "lib", "person", F.explode("gram").alias("gram"))
-    total = forms.count()
-    weight = gram.groupBy("gram").agg(F.log(1 + F.lit(float(total)) / F.count(F.lit(1))).alias("w"))
-    weighted = gram.join(weight, "gram")
-    norm = weighted.groupBy("f").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vector = scratch.keep(weighted.join(norm, "f").select("f", "lib", "person", F.xxhash64("gram").alias("gram"), (F.col("w") / F.col("norm")).alias("w")))
+    vector = scratch.keep(gram_vectors(forms))
     left = vector.where("person").select("lib", "gram", F.col("f").alias("a"), F.col("w").alias("wa"))
     right = vector.select("lib", "gram", F.col("f").alias("b"), F.col("w").alias("wb"), F.col("person").alias("pb"))
     products = left.join(right, ["lib", "gram"]).where("a <> b and (not pb or a < b)").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
@@ -521,6 +517,49 @@ def name_entities(names: DataFrame) -> DataFrame:
     return parsed.join(entity, "f").select("lib", "kind", "id", "name", "entity")
 
 
+class _GramNumbers(dict):
+    def __missing__(self, gram: str) -> int:
+        got = self[gram] = xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass")) - (1 << 63)
+        if len(self) > 1_000_000:
+            self.clear()
+        return got
+
+
+def gram_vectors(forms: DataFrame) -> DataFrame:
+    """(f, lib, person, gram, w): the n-grams of each form by inverse document frequency, of length one.
+
+    Frequencies are counted over all forms in GRAM_SLOTS slots by a hash of the
+    n-gram, so what is sent to the tasks has one size whatever the number of forms;
+    n-grams that share a slot count as equally frequent, but not as equal.
+    """
+    spark = forms.sparkSession
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = _GramNumbers()
+        for b in batches:
+            yield pd.DataFrame({"f": b.f, "lib": b.lib, "person": b.person, "gram": [[number[g] for g in grams(x.split(" "))] for x in b.form]})
+
+    held = spread(forms).mapInPandas(cut, "f bigint, lib bigint, person boolean, gram array<bigint>")
+    slot = F.pmod("gram", F.lit(GRAM_SLOTS)).cast("int").alias("slot")
+    counted = held.select(F.explode("gram").alias("gram")).select(slot).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most GRAM_SLOTS rows
+    often = np.zeros(GRAM_SLOTS, np.int64)
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(np.log1p(forms.count() / np.maximum(often, 1)))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gram = b.column(3)
+            size = np.diff(gram.offsets.to_numpy())
+            flat = gram.flatten()
+            row = np.repeat(np.arange(b.num_rows), size)
+            w = shared.value[flat.to_numpy() % GRAM_SLOTS]
+            norm = np.sqrt(np.bincount(row, w * w, minlength=b.num_rows))
+            first = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(first) for c in range(3)), flat, pa.array(w / norm[row])], ["f", "lib", "person", "gram", "w"])
+
+    return held.mapInArrow(weigh, "f bigint, lib bigint, person boolean, gram bigint, w double")
+
+
 def _misspelled(counted: DataFrame) -> DataFrame:
     """(token, wrong): of (token, libs), the common tokens that can be typing errors of words that RARER times as many libraries have."""
 

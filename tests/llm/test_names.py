@@ -98,3 +98,15 @@ def test_typing_error_of_a_frequent_word_in_many_libraries(spark):
     rows += [(lib, "request", 200 + lib, rows[lib][3].replace("Anselm", "Anselmo")) for lib in range(10, 30)]
     got = {(r.id_a, r.id_b) for r in same_entity_pairs(name_entities(spark.createDataFrame(rows, "lib bigint, kind string, id bigint, name string"))).collect()}
     assert got == {(lib, 100 + lib) for lib in range(5)}
+
+
+def test_vectors_have_length_one_and_rare_grams_weigh_more(spark):
+    from kithspark.llm.names import gram_vectors
+
+    rows = [(i, 1, True, f) for i, f in enumerate(["F:anna F:berg", "F:anna F:sorel", "F:anna F:xu", "I:a"])]
+    got = {}
+    for r in gram_vectors(spark.createDataFrame(rows, "f bigint, lib bigint, person boolean, form string")).collect():
+        got.setdefault(r.f, {})[r.gram] = r.w
+    assert set(got) == {0, 1, 2, 3} and all(abs(sum(w * w for w in v.values()) - 1) < 1e-9 for v in got.values())
+    common = set(got[0]) & set(got[1])
+    assert common and max(got[0][g] for g in common) < min(w for g, w in got[0].items() if g not in common)
