@@ -46,3 +46,15 @@ def test_hostile_names_and_ids(spark, bad):
     assert {("person", 1, "person", 2), ("person", 1, "request", 1), ("person", 2, "request", 1)} <= pairs
     ids = {r.doc_id: len(r.ids) for r in entry.queries()["p7_ids"](spark, bad).collect()}
     assert ids[1] == ids[2] == 0 < ids[3] and ids[6] > 50_000 and None in ids
+
+
+def test_hostile_groups_forms_items_scores_and_rates(spark, bad):
+    run = lambda name: entry.queries()[name](spark, bad).collect()
+    groups = {r.group_face_id: (r["size"], set(r.members)) for r in run("p1_groups")}
+    assert groups[4] == (2, {4, 5}) and groups[1][0] == 4 and len(groups[1][1]) == 3 and groups[1][1] < {1, 2, 3, 6} and len(groups) == 2
+    forms = {r.person_id: r.name_form for r in run("p4_names")}
+    assert forms[1] == forms[2] == "Ann Sorel" != forms[3] and forms[4] is None
+    assert [(r.item_id, r.documents, r.longest) for r in run("p8_items")] == [(1, 1, 24)]
+    scores = {r.doc_id: (r.score, r.kind) for r in run("p9_scores")}
+    assert len(scores) == 10 and scores[4][1] == "abusive" and scores[4][0] >= 0.5 and scores[1] == scores[2] == scores[3] == (0.0, None)
+    assert {r.source: (r.documents, r.abusive, r.rate) for r in run("p9_sources")} == {None: (1, 1, 1.0), "mail": (9, 0, 0.0)}
