@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from kithspark.functions.geometry import box, centre, diagonal, same_face
-from kithspark.functions.vectors import unit, usable
+from kithspark.functions.vectors import finite, unit, usable
 from kithspark.operators.graph import Metric, close_pairs, density_clusters
 from kithspark.schemas import AGREEMENT, COVERED_AGREEMENT, EYE_WEIGHT, FULL_COVERAGE, FULL_WEIGHT, IOU, MIN_EYE_FACES, MIN_FACES, NOISE, PROXIMITY, TOLERANCE
 from kithspark.session import Scratch
@@ -163,6 +163,17 @@ def cluster_faces(faces: DataFrame, tolerance: float = TOLERANCE, min_faces: int
     return _numbered(single, min_faces, scope).withColumnRenamed("id", "face_id")
 
 
+def check_vectors(rows: DataFrame, vector: str) -> int:
+    """The length of all vectors of a table, 0 for an empty one; vectors that are null, not finite or of several lengths are an error."""
+    v = F.col(vector)
+    seen = rows.agg(F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.count_if(~F.coalesce(finite(v) & (F.size(v) > 0), F.lit(False))).alias("bad")).first()
+    if seen.low is None:
+        return 0
+    if seen.bad or seen.low != seen.high:
+        raise ValueError("the vectors must be finite and of one length")
+    return seen.low
+
+
 def check_tolerance(tolerance: float) -> None:
     if not 0 < tolerance <= 2:
         raise ValueError("tolerance must be above 0 and at most 2")

@@ -169,22 +169,24 @@ def gallery_folders(people: DataFrame) -> DataFrame:
 
 
 def gallery(photos: DataFrame, listing: DataFrame | None = None, root: str = "") -> DataFrame:
-    """(person_name, folder, source, target, status, position) for each person's photos in order of their path.
+    """(person_name, folder, source, target, status, position, bytes) for each person's photos in order of their path.
 
-    ``listing`` (path) holds the files that exist; a photo that isn't in it is
-    missing, one that is no picture is skipped, and only the others get a target.
+    ``listing`` (path[, bytes]) holds the files that exist, with their sizes; a photo
+    that isn't in it is missing, one that is no picture is skipped, and only the
+    others get a target.
     """
     rows = photos.join(gallery_folders(photos), "person_name").withColumn("source", resolved_path(F.col("image_path"), F.lit(root)))
     if listing is not None:
-        rows = rows.join(listing.select(F.col("path").alias("source")).distinct().withColumn("there", F.lit(True)), "source", "left")
+        size = F.max("bytes") if "bytes" in listing.columns else F.lit(None)
+        rows = rows.join(listing.groupBy(F.col("path").alias("source")).agg(size.cast("bigint").alias("bytes"), F.lit(True).alias("there")), "source", "left")
     else:
-        rows = rows.withColumn("there", F.lit(True))
+        rows = rows.withColumn("there", F.lit(True)).withColumn("bytes", F.lit(None).cast("bigint"))
     status = F.when(F.col("there").isNull(), "missing").when(F.lower(suffix(F.col("source"))).isin(*NOT_IN_GALLERY), "skipped").otherwise("ok")
-    rows = rows.select("person_name", "folder", "source", F.concat(stem(F.col("source")), F.lit(".jpg")).alias("name"), status.alias("status"))
+    rows = rows.select("person_name", "folder", "source", F.concat(stem(F.col("source")), F.lit(".jpg")).alias("name"), status.alias("status"), "bytes")
     shown = free_names(rows.where("status = 'ok'"), "folder", "name", ["source"])
     at = F.row_number().over(Window.partitionBy("folder").orderBy("source"))
-    shown = shown.withColumn("position", at).select("person_name", "folder", "source", "target", "status", "position")
-    rest = rows.where("status <> 'ok'").select("person_name", "folder", "source", F.lit(None).cast("string").alias("target"), "status", F.lit(None).cast("int").alias("position"))
+    shown = shown.withColumn("position", at).select("person_name", "folder", "source", "target", "status", "position", "bytes")
+    rest = rows.where("status <> 'ok'").select("person_name", "folder", "source", F.lit(None).cast("string").alias("target"), "status", F.lit(None).cast("int").alias("position"), "bytes")
     return shown.unionByName(rest)
 
 
@@ -195,4 +197,4 @@ def gallery_people(manifest: DataFrame) -> DataFrame:
 
 def gallery_totals(manifest: DataFrame) -> DataFrame:
     shown = F.col("status") == "ok"
-    return manifest.agg(F.count_if(shown).alias("photos"), F.count_distinct(F.when(shown, F.col("person_name"))).alias("people"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "missing").alias("missing"))
+    return manifest.agg(F.count_if(shown).alias("photos"), F.count_distinct(F.when(shown, F.col("person_name"))).alias("people"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "missing").alias("missing"), F.coalesce(F.sum(F.when(shown, F.col("bytes"))), F.lit(0)).alias("bytes"))

@@ -191,16 +191,22 @@ def gallery_selection(occ: DataFrame, names: list[str] | None = None) -> DataFra
 
 
 def neighbours_in_order(rows: DataFrame, group: str, order: list[Column], item: str) -> DataFrame:
-    """Each item with the one before and after it in its group; the ends meet."""
-    w = Window.partitionBy(group).orderBy(*order)
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select(
-        group,
-        item,
-        F.row_number().over(w).alias("position"),
-        F.coalesce(F.lag(item).over(w), F.last(item).over(every)).alias("previous"),
-        F.coalesce(F.lead(item).over(w), F.first(item).over(every)).alias("following"),
-    )
+    """Each item with its position from 1 and the one before and after it in its group; the ends meet.
+
+    All rows are numbered over range partitions, and neighbours are found by their
+    numbers, so a group of any size is no load. ``order`` with ``item`` should tell
+    the rows of a group apart.
+    """
+    from kithspark.operators.clustering import _dense
+
+    at = _dense(rows.where(F.col(group).isNotNull()).select(group, item, F.struct(F.col(group).alias("g"), *[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(item).alias("i")).alias("__by")), "__by").drop("__by")
+    ends = at.groupBy(group).agg(F.min("position").alias("low"), F.max("position").alias("high"))
+    placed = at.join(ends, group)
+    before = F.when(F.col("position") > F.col("low"), F.col("position") - 1).otherwise(F.col("high"))
+    after = F.when(F.col("position") < F.col("high"), F.col("position") + 1).otherwise(F.col("low"))
+    of = lambda key, name: at.select(F.col("position").alias(key), F.col(item).alias(name))
+    both = placed.withColumn("__b", before).withColumn("__a", after).join(of("__b", "previous"), "__b").join(of("__a", "following"), "__a")
+    return both.select(group, item, (F.col("position") - F.col("low") + 1).cast("int").alias("position"), "previous", "following")
 
 
 def empty_occurrences(spark: SparkSession) -> DataFrame:

@@ -139,16 +139,17 @@ _GAL = f"""WITH {FOCC}, p AS (SELECT library_id || ' ' || k AS person_name, imag
 def _gallery(spark, folder):
     """Galleries of all people; images that are readable count as files that exist."""
     rows = by_library(spark, folder).select(F.concat_ws(" ", "library_id", tx.name_key(F.col("person_name"))).alias("person_name"), "image_path")
-    return plc.gallery(rows, table(spark, folder, "images").select(F.col("image_path").alias("path")))
+    return plc.gallery(rows, table(spark, folder, "images").select(F.col("image_path").alias("path"), (F.length("image_path") * 1000).cast("bigint").alias("bytes")))
 
 
-@R.add("k3_gallery_people", _GAL + " SELECT person_name, count(*) AS photos FROM s WHERE status IS NOT NULL GROUP BY 1")
+@R.add("k3_gallery_people", _GAL + """ , g AS (SELECT person_name, count(*) AS photos, min(image_path) AS cover FROM s WHERE status IS NOT NULL GROUP BY 1)
+SELECT person_name, person_name AS folder, photos, regexp_replace(regexp_extract(cover, '([^/]*)$', 1), '\\.[^.]+$', '') || '.jpg' AS cover FROM g""")
 def k3(spark, folder):
-    """Each person in the gallery with the number of photos shown."""
-    return plc.gallery_people(_gallery(spark, folder)).select("person_name", "photos")
+    """Each person in the gallery with the folder, the number of photos shown and the first one."""
+    return plc.gallery_people(_gallery(spark, folder)).select("person_name", "folder", "photos", "cover")
 
 
-@R.add("a12_gallery_totals", _GAL + " SELECT count(status) AS photos, count(DISTINCT CASE WHEN status IS NOT NULL THEN person_name END) AS people, 0 AS skipped, count(*) FILTER (status IS NULL) AS missing FROM s")
+@R.add("a12_gallery_totals", _GAL + " SELECT count(status) AS photos, count(DISTINCT CASE WHEN status IS NOT NULL THEN person_name END) AS people, 0 AS skipped, count(*) FILTER (status IS NULL) AS missing, CAST(coalesce(sum(CASE WHEN status IS NOT NULL THEN length(image_path) * 1000 END), 0) AS BIGINT) AS bytes FROM s")
 def a12(spark, folder):
     return plc.gallery_totals(_gallery(spark, folder))
 
@@ -341,11 +342,12 @@ def p10(spark, folder):
     return table(spark, folder, "images").where(~F.lower(tx.suffix(F.col("image_path"))).isin(*NOT_IN_GALLERY)).select("image_path")
 
 
-@R.add("sv_p11_equal_lengths", "SELECT a.person_id AS a, b.person_id AS b FROM persons a JOIN persons b ON a.library_id = b.library_id AND a.person_id < b.person_id AND len(a.embedding) = len(b.embedding)")
+@R.add("sv_p11_equal_lengths", "SELECT person_id, library_id, len(embedding) AS length, count(*) OVER (PARTITION BY library_id, len(embedding)) - 1 AS others FROM persons WHERE embedding IS NOT NULL AND library_id IS NOT NULL")
 def p11(spark, folder):
-    """Pairs of persons of a library whose vectors can be compared."""
-    p = table(spark, folder, "persons").where("embedding is not null").select("library_id", F.size("embedding").alias("d"), "person_id")
-    return p.select("library_id", "d", F.col("person_id").alias("a")).join(p.select("library_id", "d", F.col("person_id").alias("b")), ["library_id", "d"]).where("a < b").select("a", "b")
+    """Every person with the length of their vector and how many others of the library they can be compared with."""
+    p = table(spark, folder, "persons").where("embedding is not null").select("person_id", "library_id", F.size("embedding").cast("bigint").alias("length"))
+    n = p.groupBy("library_id", "length").agg((F.count(F.lit(1)) - 1).alias("others"))
+    return p.join(n, ["library_id", "length"]).select("person_id", "library_id", "length", "others")
 
 
 @R.add("sv_p12_named_rows", f"WITH {_REQ} SELECT request_id FROM q WHERE s <> ''")

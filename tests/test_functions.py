@@ -30,9 +30,10 @@ def test_cosine_similarity(spark, a, b, want):
 
 def test_cosine_distance(spark):
     d = lambda a, b: on_vectors(spark, a, b, vec.cosine_distance)
-    assert [d(a, b) for a, b in (([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), ([], [1.0]), (None, [1.0]))] == [0, 1, 2, 2, 2, 2]
-    with pytest.raises(Exception, match="differ in size"):
-        d([1.0, 2.0], [1.0])
+    assert [d(a, b) for a, b in (([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), ([], []), (None, [1.0]), ([NAN, 1.0], [1.0, 0.0]), ([INF, 1.0], [1.0, 0.0]))] == [0, 1, 2, 2, 2, 2, 2, 2]
+    for sizes in (([1.0, 2.0], [1.0]), ([], [1.0])):  # sizes are looked at before anything else
+        with pytest.raises(Exception, match="differ in size"):
+            d(*sizes)
 
 
 def test_fused_rules(spark):

@@ -244,3 +244,21 @@ def test_pairs_within_a_scope_and_by_another_metric(spark):
     one = lambda x, y: 1 - np.abs(x[:, 1][:, None] - y[:, 1][None, :])
     near = {(r.a, r.b) for r in close_pairs(df, 0.11, metric=one).where("a = 0").collect()}
     assert near == {(0, 1)}
+
+
+def test_vectors_are_checked(spark):
+    df = lambda *rows: spark.createDataFrame([(r,) for r in rows], "v array<float>")
+    assert clu.check_vectors(df([1.0, 2.0], [0.0, 3.0]), "v") == 2 and clu.check_vectors(df(), "v") == 0
+    for bad in ([[1.0], [1.0, 2.0]], [[1.0], None], [[float("nan")]], [[]], [[None]]):
+        with pytest.raises(ValueError):
+            clu.check_vectors(df(*bad), "v")
+
+
+def test_clusters_of_each_scope(spark):
+    rows = [(i, "p%d" % i, 0, 0, 9, 9, v, e, 0.9, lib) for i, (v, e, lib) in enumerate([([1, 0], None, 1), ([1, 0.1], None, 1), ([0, 1], None, 1), ([1, 0], [1, 0], 2), ([1, 0.1], [1, 0], 2), ([1, 0], [1, 0], 3), ([1, 0.05], [0, 1], 3), ([1, 0.1], [1, 0.1], 3), ([1, 0.02], None, 3), ([1, 0], None, None)])]
+    df = spark.createDataFrame([(*r[:6], [float(x) for x in r[6]], r[7] and [float(x) for x in r[7]], *r[8:]) for r in rows], FACE + ", library_id int")
+    got = {(r.library_id, r.face_id): r.cluster_id for r in clu.cluster_faces(df, 0.2, scope="library_id").collect()}
+    for lib in (1, 2, 3):  # as if each were the only one
+        alone = {r.face_id: r.cluster_id for r in clu.cluster_faces(df.where(F.col("library_id") == lib), 0.2).collect()}
+        assert {k[1]: v for k, v in got.items() if k[0] == lib} == alone and alone
+    assert {k[0] for k in got} == {1, 2, 3}

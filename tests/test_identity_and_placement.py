@@ -144,12 +144,12 @@ def test_camera_names_stay_where_they_are(spark):
 def test_gallery(spark):
     rows = [("John", "/a.jpg"), ("John.", "/a.png"), ("John", "/b.png"), ("John", "/a.PNG"), ("John", "/x.db"), ("John", "/gone.jpg"), ("...", "/a.jpg")]
     photos = spark.createDataFrame(rows, "person_name string, image_path string")
-    there = spark.createDataFrame([(p,) for _, p in rows if "gone" not in p], "path string")
+    there = spark.createDataFrame([(p, 10) for _, p in rows if "gone" not in p], "path string, bytes int")
     m = plc.gallery(photos, there)
     got = {(r.person_name, r.source): (r.folder, r.target, r.status) for r in m.collect()}
     assert got["John", "/a.PNG"] == ("John", "a.jpg", "ok") and got["John", "/a.jpg"] == ("John", "a_1.jpg", "ok") and got["John.", "/a.png"][0] == "John (2)" and got["...", "/a.jpg"][0] == "unnamed"
     assert got["John", "/x.db"][1:] == (None, "skipped") and got["John", "/gone.jpg"][2] == "missing"
-    assert tuple(plc.gallery_totals(m).first()) == (5, 3, 1, 1)
+    assert tuple(plc.gallery_totals(m).first()) == (5, 3, 1, 1, 50)
     assert {r.person_name: (r.photos, r.cover) for r in plc.gallery_people(m).collect()}["John"] == (3, "a.jpg")
 
 
