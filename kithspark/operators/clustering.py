@@ -179,37 +179,43 @@ def check_tolerance(tolerance: float) -> None:
         raise ValueError("tolerance must be above 0 and at most 2")
 
 
+def _summed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(key struct, d, n, v) with n and v, vectors of length d, summed for each key and length."""
+    for d in np.unique(t.column("d").to_numpy()):
+        part = t.filter(pa.array(t.column("d").to_numpy() == d)).combine_chunks()
+        key = part.column("key").combine_chunks()
+        x = part.column("v").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
+        fields = {f"k{i}": c for i, c in enumerate(key.flatten())}
+        groups = pa.table(fields | {"row": np.arange(part.num_rows)}).group_by(list(fields), use_threads=False).aggregate([("row", "list"), ("row", "min")])
+        rows = groups.column("row_list").combine_chunks()
+        begin, order = rows.offsets.to_numpy()[:-1] - rows.offsets[0].as_py(), rows.flatten().to_numpy()
+        total, n = np.add.reduceat(x[order], begin, axis=0), np.add.reduceat(part.column("n").to_numpy()[order], begin)
+        v = pa.ListArray.from_arrays(np.arange(0, total.size + 1, total.shape[1], dtype=np.int32), pa.array(total.ravel()))
+        yield pa.RecordBatch.from_arrays([key.take(groups.column("row_min").combine_chunks()), pa.array(np.full(len(n), d, np.int32)), pa.array(n), v], ["key", "d", "n", "v"])
+
+
 def centroids(faces: DataFrame, key: str | list[str], vector: str, out: str = "centroid") -> DataFrame:
     """(key, n, out): the mean of each group's usable vectors, scaled to length one; a zero mean stays as it is.
 
-    Each batch of rows is summed group by group before anything moves, and the sums
-    travel as one value, so a group of any size is no load. Vectors that are not
-    as long as the group's longest are left out of its mean.
+    Each batch of rows is summed group by group in arrays before anything moves, and
+    what is left of a group, one row for a batch, is summed where its key belongs, so
+    a group of any size is no load. Vectors that are not as long as the group's
+    longest are left out of its mean.
     """
     keys = [key] if isinstance(key, str) else key
-    rows = faces.where(usable(F.col(vector))).select(F.struct(*keys).alias("key"), F.size(vector).alias("d"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rows = faces.where(usable(F.col(vector))).select(F.struct(*keys).alias("key"), F.size(vector).alias("d"), F.lit(1).cast("bigint").alias("n"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            for d in np.unique(b.column(1).to_numpy()):
-                part = b.filter(pa.array(b.column(1).to_numpy() == d))
-                x = part.column(2).flatten().to_numpy().reshape(part.num_rows, -1)
-                keyed = pa.table({f"k{i}": c for i, c in enumerate(part.column(0).flatten())} | {"row": np.arange(part.num_rows)})
-                groups = keyed.group_by([f"k{i}" for i in range(len(keys))], use_threads=False).aggregate([("row", "list"), ("row", "min")])
-                lists = groups.column("row_list").combine_chunks()
-                begin = lists.offsets.to_numpy()[:-1]
-                total = np.add.reduceat(x[lists.flatten().to_numpy()], begin - begin[0], axis=0)
-                first = part.column(0).take(groups.column("row_min").combine_chunks())
-                n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-                sums = pa.ListArray.from_arrays(np.arange(0, total.size + 1, total.shape[1], dtype=np.int32), pa.array(total.ravel()))
-                yield pa.RecordBatch.from_arrays([first, pa.array(np.full(len(n), d, np.int32)), pa.array(n), sums], ["key", "d", "n", "v"])
-
-    parts = rows.mapInArrow(sums, T.StructType([rows.schema["key"], T.StructField("d", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))]))
-    element = parts.select("key", "d", "n", F.posexplode("v").alias("pos", "x"))
-    added = element.groupBy("key", "d", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    vectors = added.groupBy("key", "d").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("x") / F.col("n")).alias("x")))), lambda s: s["x"]).alias("v"))
+            if b.num_rows:
+                yield from _summed(pa.Table.from_batches([b]))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := [b for b in batches if b.num_rows]:
+            yield from _summed(pa.Table.from_batches(got))
+
+    kind = T.StructType([rows.schema["key"], T.StructField("d", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    vectors = rows.mapInArrow(each, kind).repartition("key").mapInArrow(whole, kind).withColumn("v", F.transform("v", lambda x: x / F.col("n")))
     longest = vectors.groupBy("key").agg(F.max_by(F.struct("n", "v"), "d").alias("best"))
     return longest.select("key.*", F.col("best.n").alias("n"), F.coalesce(unit(F.col("best.v")), F.col("best.v")).alias(out))
 
