@@ -379,6 +379,7 @@ def linked_groups(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFram
         return pa.table({"a": ids[keep], "b": root[keep], "home": first[keep], "density": table.column("density").to_numpy()[keep]})
 
     found = scratch.keep(weighed(single, mixture).groupBy("cell", "h", "v").applyInArrow(link, "a bigint, b bigint, home boolean, density double"))
+    scratch.drop(units)
     edges = found.where("a <> b").select("a", "b").unionByName(links)
     groups = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
     density = found.where("home").select(F.col("a").alias("id"), "density")

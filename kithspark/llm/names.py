@@ -489,6 +489,7 @@ def name_entities(names: DataFrame) -> DataFrame:
     together = F.array_sort(F.collect_list(F.struct("at", marked.alias("token"))))
     forms = scratch.keep(token.join(common, "token").groupBy("f", "lib", "person").agg(together.alias("t")).select("f", "lib", "person", F.array_join("t.token", " ").alias("form")))
 
+    scratch.drop(counted)
     vector = scratch.keep(gram_vectors(forms))
     left = vector.where("person").select("lib", "gram", F.col("f").alias("a"), F.col("w").alias("wa"))
     right = vector.select("lib", "gram", F.col("f").alias("b"), F.col("w").alias("wb"), F.col("person").alias("pb"))
@@ -504,6 +505,7 @@ def name_entities(names: DataFrame) -> DataFrame:
     named = candidates.join(forms.select(F.col("f").alias("a"), F.col("form").alias("fa")), "a").join(forms.select(F.col("f").alias("b"), F.col("form").alias("fb"), F.col("person").alias("pb")), "b")
     judged = scratch.keep(named.select("a", "b", "pb", "fa", "fb").mapInPandas(judge, "a bigint, b bigint, pb boolean, strong boolean, weak boolean, similarity double, short int"))
 
+    scratch.drop(vector)
     entity = scratch.keep(_linked(forms, judged.where("strong")))
 
     # A short form belongs to the one entity that it fits, if there is just one; single words are settled
@@ -512,8 +514,11 @@ def name_entities(names: DataFrame) -> DataFrame:
     fits = weak.where("pb and short = 1").select(F.col("a").alias("f"), F.col("b").alias("to")).unionByName(weak.where("short = 2").select(F.col("b").alias("f"), F.col("a").alias("to")))
     words = forms.select("f", (F.size(F.split("form", " ")) == 1).alias("single"))
     fits = scratch.keep(fits.join(words, "f"))
+    scratch.drop(judged)
     for single in (False, True):
-        entity = scratch.keep(_settled(entity, fits.where("single" if single else "not single")))
+        before, entity = entity, scratch.keep(_settled(entity, fits.where("single" if single else "not single")))
+        scratch.drop(before)
+    scratch.drop(fits)
     return parsed.join(entity, "f").select("lib", "kind", "id", "name", "entity")
 
 

@@ -197,6 +197,7 @@ def nearest(vectors: DataFrame, k: int, least: float) -> DataFrame:
     sizes = {r.signal: r.n for r in known.groupBy("signal").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each signal
     plan = {s: _axes(n) for s, n in sizes.items()}
     hot = vectors.sparkSession.sparkContext.broadcast(_hot_buckets(known, sizes, plan))
+    scratch.drop(known)
     searched = units.join(extra.select("signal", "id"), ["signal", "id"], "left_anti")
 
     def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
