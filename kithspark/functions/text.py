@@ -86,9 +86,15 @@ def command(text: Column, known: list[str]) -> Column:
 
 
 def name_list(text: Column) -> Column:
-    """A comma-separated list as trimmed names; of names that differ in case only, the first."""
-    names = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), stripped), lambda x: x != "")
-    return first_by(names, F.lower)
+    """A comma-separated list as trimmed names; of names that differ in case only, the first.
+
+    Sorted by name and place, a name's repeats follow its first, so a long list
+    takes a sort and not a comparison of each name with all before it.
+    """
+    part = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x, i: F.struct(F.lower(stripped(x)).alias("key"), i.alias("place"), stripped(x).alias("name")))
+    names = F.array_sort(F.filter(part, lambda x: x["key"] != ""))
+    first = F.zip_with(names, F.concat(F.array(F.lit(None)), names), lambda x, before: F.when(x["key"] != F.coalesce(before["key"], F.lit("")), F.struct(x["place"], x["name"])))
+    return F.transform(F.array_sort(F.array_compact(first)), lambda x: x["name"])
 
 
 def first_by(values: Column, key) -> Column:

@@ -189,9 +189,9 @@ def g8(spark, folder):
 
 @R.add("g9_name_lists", f"WITH {_REQ} SELECT cluster_id, count(DISTINCT lower(s)) AS names FROM (SELECT cluster_id, trim(unnest(string_split(name, ',')), {_BLANK}) AS s FROM q WHERE cluster_id IS NOT NULL AND name IS NOT NULL) WHERE s <> '' GROUP BY 1")
 def g9(spark, folder):
-    """The names typed for a cluster as one comma-separated list, split again and each counted once."""
-    typed = requests(spark, folder).where("cluster_id is not null and name is not null").groupBy("cluster_id").agg(F.concat_ws(",", F.collect_list("name")).alias("typed"))
-    return typed.select("cluster_id", F.size(tx.name_list(F.col("typed"))).cast("bigint").alias("names")).where("names > 0")
+    """The names typed for a cluster, in lists with commas, each counted once; no cluster's names come together in one row."""
+    typed = requests(spark, folder).where("cluster_id is not null and name is not null").select("cluster_id", F.explode(tx.name_list(F.col("name"))).alias("name"))
+    return typed.groupBy("cluster_id").agg(F.count_distinct(F.lower("name")).alias("names"))
 
 
 @R.add("g10_json_lists", "SELECT person_id, coalesce(len(sample_image_paths), 0) AS n, sample_image_paths[1] AS first_path FROM persons")

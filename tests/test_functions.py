@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 import numpy as np
@@ -124,6 +125,18 @@ def test_lists_and_commands(spark):
     assert merged == ["x.jpg", "Y.jpg", "z.jpg", "0", "1", "2", "3", "4"]
 
 
+def test_long_name_lists(spark):
+    names = [f" {'Name' if i % 3 else 'NAME'} {i * 7919 % 15000}" for i in range(16000)] + ["", " ", "Ärn", "ärn"]
+    first = {}
+    for n in names:
+        first.setdefault(n.strip().lower(), n.strip())
+    del first[""]
+    assert text(spark, "b,B,a", tx.name_list) == ["b", "a"]
+    began = time.monotonic()
+    assert text(spark, ",".join(names), tx.name_list) == list(first.values())
+    assert time.monotonic() - began < 30  # comparing each name with all before it takes minutes
+
+
 def test_values_to_show(spark):
     show = lambda v, t, f: value(spark, v=(v, t))(f(F.col("v")))
     assert [show(n, "double", tx.bytes_text) for n in (None, 0.0, 1023.0, 1024.0, 1536.0, 10 * 1024.0, 5e6, 3e12, 9e15)] == ["0 B", "0 B", "1023 B", "1.0 KB", "1.5 KB", "10 KB", "4.8 MB", "2.7 TB", "8185 TB"]

@@ -44,6 +44,17 @@ def test_heavy_keys_of_hostile_tables(spark, bad):
     assert got == {("cluster_id", 1), ("cluster_id", 7), ("person_id", 1)}
 
 
+def test_name_lists_of_a_hot_cluster(spark, tmp_path):
+    rows = [(i, 1, 7 if i % 10 else i, f" Name {i % 900}, NAME {i % 700},,{' ' * (i % 3)}" if i % 5 else " , ", None, None) for i in range(4000)]
+    spark.createDataFrame(rows, hostile.SCHEMAS["name_requests"]).write.parquet(f"{tmp_path}/name_requests.parquet")
+    df = entry.queries()["g9_name_lists"](spark, str(tmp_path))
+    assert "collect_list" not in df._jdf.queryExecution().toString()  # a cluster's names never come together in one row
+    want = {}
+    for _, _, c, names, _, _ in rows:
+        want.setdefault(c, set()).update(x.strip().lower() for x in names.split(",") if x.strip())
+    assert {tuple(r) for r in df.collect()} == {(c, len(v)) for c, v in want.items() if v}
+
+
 def _plain(df: pd.DataFrame) -> list[tuple]:
     def one(x):
         if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
